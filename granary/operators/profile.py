@@ -1,0 +1,539 @@
+"""Profiling: structure, gaps, duplicates, statistics, correlation, outliers and roles."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+from itertools import combinations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from granary.errors import ValidationError
+from granary.functions.dates import parse_datetime
+from granary.functions.kinds import (
+    BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, categorical_columns, col, column_kinds, columns_of,
+    kind_of, kinds, numeric_columns, resolve,
+)
+from granary.operators.counts import (
+    DISTINCT_PER_JOB, distinct_capped, distinct_counts, melted, per_column, top_k_per, top_values,
+    value_counts, value_table,
+)
+from granary.operators.quantiles import quantiles
+from granary.session import chunks, local_frame
+
+MAX_CARDINALITY = 50
+TOP_PAIRS = 10
+PAIRS_PER_JOB = 200
+OUTLIER_MIN_DISTINCT = 8
+IQR_FACTOR = 1.5
+DIMENSION_LIMIT = 15
+DASHBOARD_DIMENSION_LIMIT = 20
+FILTER_VALUES = 25
+MIN_DATED = 4
+DATE_SAMPLE = 200
+
+# Words in a column name that mark an identifier, a target or a date.
+ID_HINTS = ("id", "index", "uuid", "key", "code", "zip", "zipcode", "email", "name")
+TARGET_HINTS = (
+    "target", "label", "outcome", "result", "prediction", "predicted", "response", "dep", "y",
+    "churn", "price", "salary", "sales", "revenue", "survived", "default", "fraud", "win",
+    "approve", "purchase", "buy",
+)
+DATE_HINTS = (
+    "date", "time", "day", "month", "year", "created", "updated", "timestamp", "period", "when",
+    "at",
+)
+# Pairs of texts read as yes and no.
+BINARY_PAIRS = (
+    {"yes", "no"}, {"true", "false"}, {"0", "1"}, {"good", "bad"}, {"churned", "not_churned"},
+)
+
+
+@dataclass(frozen=True)
+class Profile:
+    summary: DataFrame
+    columns: DataFrame
+
+
+def _profilable(df: DataFrame) -> list[str]:
+    return columns_of(df, NUMERIC, CATEGORICAL, BOOLEAN, DATETIME)
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row: how many rows repeat an earlier one. Nulls count as equal."""
+    per_row = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
+    extra = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long")
+    return per_row.agg(extra.alias("duplicate_rows"))
+
+
+def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Per column: type, kind, rows, missing, distinct."""
+    count_of = F.approx_count_distinct if approximate else F.countDistinct
+    measures = {
+        "rows": lambda c: F.count(F.lit(1)),
+        "missing": lambda c: F.count_if(col(c).isNull()),
+        "distinct": lambda c: count_of(col(c)),
+    }
+    found = per_column(df, _profilable(df), measures, None if approximate else DISTINCT_PER_JOB)
+    named = column_kinds(df).select("column", "dtype", "kind")
+    return found.join(F.broadcast(named), "column").select(
+        "position", "column", "dtype", "kind", "rows", "missing", "distinct"
+    )
+
+
+def analyze_dataset(df: DataFrame, approximate: bool = False) -> Profile:
+    """Size, duplicates and empty columns of the table, and a row per column."""
+    columns = column_profile(df, approximate)
+    gaps = columns.agg(
+        F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
+        F.count(F.lit(1)).alias("columns"),
+        F.sort_array(
+            F.collect_list(F.when(F.col("missing") == F.col("rows"), F.col("column")))
+        ).alias("empty_columns"),
+    )
+    summary = gaps.withColumn("duplicate_rows", duplicate_rows(df).scalar())
+    return Profile(summary, columns)
+
+
+# -- gaps ------------------------------------------------------------------
+
+
+def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per column, in one scan: rows and missing."""
+    measures = {
+        "rows": lambda c: F.count(F.lit(1)),
+        "missing": lambda c: F.count_if(col(c).isNull()),
+    }
+    return per_column(df, columns or df.columns, measures)
+
+
+@dataclass(frozen=True)
+class MissingAudit:
+    totals: DataFrame
+    columns: DataFrame
+
+
+def detect_missing_values(df: DataFrame) -> MissingAudit:
+    """Columns with gaps, largest first, and totals over all cells."""
+    counted = missing_counts(df)
+    numeric = numeric_columns(df)
+    share = 100.0 * F.col("missing") / F.greatest(F.col("rows"), F.lit(1))
+    fill = F.when(F.col("column").isin(*numeric), "median").otherwise("mode") if numeric else "mode"
+    columns = (
+        counted.where("missing > 0")
+        .select(
+            "column", "missing", F.round(share, 2).alias("pct"),
+            (fill if numeric else F.lit(fill)).alias("imputation"),
+        )
+        .orderBy(F.desc("missing"), "column")
+    )
+    cells = F.greatest(F.sum("rows"), F.lit(1))
+    totals = counted.agg(
+        F.sum("missing").alias("total_missing"),
+        F.round(100.0 * F.sum("missing") / cells, 2).alias("pct_missing"),
+        F.count_if(F.col("missing") > 0).alias("columns_affected"),
+        F.count_if(F.col("missing") == F.col("rows")).alias("empty_columns"),
+    )
+    return MissingAudit(totals, columns)
+
+
+# -- statistics ------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Statistics:
+    numeric: DataFrame | None
+    categorical: DataFrame | None
+
+
+def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per numeric column: count, mean, median, std, min, q1, q3, max."""
+    names = list(columns or numeric_columns(df))
+    measures = {
+        "count": lambda c: F.count(col(c)),
+        "mean": lambda c: F.avg(col(c).cast("double")),
+        "std": lambda c: F.stddev_samp(col(c).cast("double")),
+        "min": lambda c: F.min(col(c)).cast("double"),
+        "max": lambda c: F.max(col(c)).cast("double"),
+    }
+    base = {r["column"]: r for r in per_column(df, names, measures).collect()}
+    cuts = quantiles(df, names, [0.25, 0.5, 0.75])
+    rows = [
+        (c, b["count"], b["mean"], q[1], b["std"], b["min"], q[0], q[2], b["max"])
+        for c in names
+        for b, q in [(base[c], cuts[c])]
+    ]
+    schema = (
+        "column string, count long, mean double, median double, std double, min double, "
+        "q1 double, q3 double, max double"
+    )
+    return local_frame(df.sparkSession, rows, schema)
+
+
+def categorical_statistics(df: DataFrame, k: int = 5) -> DataFrame:
+    """Per text column: distinct values and the ``k`` most frequent with their counts."""
+    names = categorical_columns(df)
+    counted = value_table(df, names)
+    distinct = counted.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    best = top_k_per(counted, ["column"], [F.desc("count"), F.asc("value")], k)
+    return best.join(F.broadcast(distinct), "column").select(
+        "column", "distinct", "rank", "value", "count"
+    )
+
+
+def generate_statistics(df: DataFrame) -> Statistics:
+    numeric = numeric_statistics(df) if numeric_columns(df) else None
+    return Statistics(numeric, categorical_statistics(df) if categorical_columns(df) else None)
+
+
+# -- correlation -----------------------------------------------------------
+
+
+def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pearson correlation of every pair, over rows where both have a value."""
+    names = list(columns or numeric_columns(df))
+    pairs = list(combinations(names, 2))
+    if not pairs:
+        return local_frame(df.sparkSession, [], "a string, b string, corr double")
+    parts = []
+    for part in chunks(pairs, PAIRS_PER_JOB):
+        wide = df.agg(
+            *[
+                F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}")
+                for i, (a, b) in enumerate(part)
+            ]
+        )
+        rows = [
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr"))
+            for i, (a, b) in enumerate(part)
+        ]
+        parts.append(wide.select(F.inline(F.array(*rows))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.select("a", "b", F.when(~F.isnan("corr"), F.col("corr")).alias("corr"))
+
+
+@dataclass(frozen=True)
+class Correlation:
+    matrix: DataFrame
+    top_pairs: DataFrame
+
+
+def generate_correlation_matrix(df: DataFrame, k: int = TOP_PAIRS) -> Correlation | None:
+    """The matrix in long form (3 places) and the ``k`` strongest pairs; None below 2 columns."""
+    names = numeric_columns(df)
+    if len(names) < 2:
+        return None
+    pairs = correlation_pairs(df, names)
+    top = (
+        pairs.where("corr is not null")
+        .orderBy(F.desc(F.abs("corr")), "a", "b")
+        .limit(k)
+    )
+    self_corr = per_column(
+        df, names, {"spread": lambda c: F.stddev_pop(col(c).cast("double"))}
+    ).select(
+        F.col("column").alias("a"), F.col("column").alias("b"),
+        F.when(F.col("spread") > 0, 1.0).alias("corr"),
+    )
+    both_ways = F.inline(
+        F.array(
+            F.struct(F.col("a"), F.col("b"), F.col("corr")),
+            F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("corr")),
+        )
+    )
+    matrix = pairs.select(both_ways).union(self_corr)
+    return Correlation(matrix.withColumn("corr", F.round("corr", 3)), top)
+
+
+# -- outliers --------------------------------------------------------------
+
+
+def iqr_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Bounds at 1.5 interquartile ranges, for columns with enough distinct values."""
+    names = [c for c in columns if kinds(df)[c] == NUMERIC]
+    distinct = distinct_capped(df, names, OUTLIER_MIN_DISTINCT)
+    names = [c for c in names if distinct[c] >= OUTLIER_MIN_DISTINCT]
+    found = quantiles(df, names, [0.25, 0.75])
+    bounds = {}
+    for c in names:
+        q1, q3 = found[c]
+        reach = IQR_FACTOR * (q3 - q1)
+        bounds[c] = (q1 - reach, q3 + reach)
+    return bounds
+
+
+def detect_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per column with outliers: how many, their share of the values, and the bounds."""
+    bounds = iqr_bounds(df, columns or numeric_columns(df))
+    schema = "column string, outliers long, pct double, low double, high double"
+    if not bounds:
+        return local_frame(df.sparkSession, [], schema)
+    measures = {
+        "values": lambda c: F.count(col(c)),
+        "outliers": lambda c: F.count_if((col(c) < bounds[c][0]) | (col(c) > bounds[c][1])),
+        "low": lambda c: F.lit(bounds[c][0]),
+        "high": lambda c: F.lit(bounds[c][1]),
+    }
+    counted = per_column(df, list(bounds), measures).where("outliers > 0")
+    pct = F.round(100.0 * F.col("outliers") / F.col("values"), 2)
+    return counted.select("column", "outliers", pct.alias("pct"), "low", "high")
+
+
+# -- roles -----------------------------------------------------------------
+
+
+def describe_schema(df: DataFrame, sample_values: int = 5) -> DataFrame:
+    """Catalogue: kind, missing, distinct, range of numbers, frequent examples of text."""
+    base = column_profile(df).drop("rows")
+    numeric = numeric_columns(df)
+    labels = columns_of(df, CATEGORICAL, BOOLEAN)
+    if numeric:
+        ends = per_column(
+            df, numeric,
+            {"min": lambda c: F.min(col(c)).cast("double"), "max": lambda c: F.max(col(c)).cast("double")},
+        ).drop("position")
+        base = base.join(F.broadcast(ends), "column", "left")
+    else:
+        base = base.withColumns({e: F.lit(None).cast("double") for e in ("min", "max")})
+    if labels:
+        ordered = F.sort_array(F.collect_list(F.struct("rank", "value")))
+        examples = top_values(df, labels, sample_values).groupBy("column").agg(
+            F.transform(ordered, lambda s: s["value"]).alias("examples")
+        )
+        return base.join(F.broadcast(examples), "column", "left")
+    return base.withColumn("examples", F.lit(None).cast("array<string>"))
+
+
+def suggest_roles(df: DataFrame, dates: bool = True) -> DataFrame:
+    """``(column, role)``: dimensions to group by, measures to aggregate, date columns."""
+    kind = kinds(df)
+    numeric = numeric_columns(df)
+    few = distinct_capped(df, numeric, DIMENSION_LIMIT)
+    rows = []
+    for position, c in enumerate(df.columns):
+        if kind[c] in (CATEGORICAL, BOOLEAN) or (c in few and few[c] <= DIMENSION_LIMIT):
+            rows.append((position, c, "dimension"))
+        if kind[c] == NUMERIC:
+            rows.append((position, c, "measure"))
+    if dates:
+        found = detect_datetime_columns(df)
+        rows += [(df.columns.index(c), c, "date") for c in found]
+    return local_frame(df.sparkSession, rows, "position int, column string, role string")
+
+
+@dataclass(frozen=True)
+class Balance:
+    summary: DataFrame
+    counts: DataFrame
+
+
+def class_balance(df: DataFrame, target: str, k: int = 12) -> Balance:
+    """How lopsided a target is: share of its largest class, and the largest counts."""
+    name = resolve(df, target, "class_balance")
+    counted = df.where(col(name).isNotNull()).groupBy(col(name).alias("value")).count()
+    share = F.max("count") / F.sum("count")
+    summary = counted.agg(
+        F.count(F.lit(1)).alias("classes"),
+        F.round(share, 4).alias("largest_share"),
+        ((share >= 0.65) & (F.count(F.lit(1)) >= 2)).alias("imbalanced"),
+    )
+    counts = counted.orderBy(F.desc("count"), F.col("value").cast("string")).limit(k)
+    return Balance(summary, counts)
+
+
+def name_score(column: str) -> int:
+    """Evidence from the name alone: +50 for a target word, -100 for an identifier word."""
+    lowered = column.lower().strip()
+    words = lowered.split()
+    score = 0
+    if any(h in words or (len(h) >= 4 and h in lowered) for h in TARGET_HINTS):
+        score += 50
+    if any(h in words or lowered == h for h in ID_HINTS):
+        score -= 100
+    return score
+
+
+def _content_score(kind: str, distinct: int, pair: set[str] | None) -> int:
+    if kind == BOOLEAN:
+        return 45
+    if kind == NUMERIC:
+        return 10 if distinct > 10 else 5
+    if distinct == 2:
+        return 55 if pair in BINARY_PAIRS else 40
+    if distinct <= 10:
+        return 10
+    return 5 if distinct <= MAX_CARDINALITY else -60
+
+
+@dataclass(frozen=True)
+class Detection:
+    problem_type: str
+    target: str | None
+    confidence: str
+    auto_detected: bool
+    candidates: DataFrame
+
+
+def detect_problem_type(df: DataFrame, target: str | None = None) -> Detection:
+    """Score every column as a target and derive the task from the best or the given one."""
+    if target is not None:
+        target = resolve(df, target, "target")
+    names = _profilable(df)
+    kind = kinds(df)
+    distinct = distinct_counts(df, names)
+    pairs = _two_values(df, [c for c in names if distinct[c] == 2 and kind[c] == CATEGORICAL])
+    rows = []
+    for position, c in enumerate(names):
+        if distinct[c] == 0:
+            continue
+        score = name_score(c) + _content_score(kind[c], distinct[c], pairs.get(c))
+        regression = kind[c] == NUMERIC and distinct[c] > 5
+        task = "regression" if regression else "classification"
+        rows.append((position, c, kind[c], distinct[c], score, task))
+    ranked = sorted(rows, key=lambda r: (-r[4], r[0]))
+    schema = (
+        "position int, column string, kind string, distinct long, score int, suggested_task string"
+    )
+    frame = local_frame(df.sparkSession, ranked, schema)
+    if target is not None:
+        task = next((r[5] for r in rows if r[1] == target), None)
+        if task is None:
+            raise ValidationError(f"Target column '{target}' has no values")
+        return Detection(task, target, "high", False, frame)
+    if not ranked or ranked[0][4] < 20:
+        return Detection("clustering", None, "low", False, frame)
+    best = ranked[0]
+    return Detection(best[5], best[1], "high" if best[4] >= 40 else "medium", True, frame)
+
+
+def _two_values(df: DataFrame, columns: Sequence[str]) -> dict[str, set[str]]:
+    """The two values of two-valued text columns are simply their minimum and maximum."""
+    if not columns:
+        return {}
+    ends = per_column(
+        df, columns,
+        {"low": lambda c: F.min(F.lower(col(c))), "high": lambda c: F.max(F.lower(col(c)))},
+    )
+    return {r["column"]: {r["low"], r["high"]} for r in ends.collect()}
+
+
+def detect_datetime_columns(
+    df: DataFrame, min_success: float = 0.8, sample: int | None = DATE_SAMPLE
+) -> list[str]:
+    """Date columns, and text that nearly always reads as a date.
+
+    ``sample`` looks at that many values per text column; None reads them all in one scan.
+    """
+    rates = date_parse_rates(df, sample)
+    found = []
+    for f in df.schema.fields:
+        if kind_of(f.dataType) == DATETIME:
+            found.append(f.name)
+        elif f.name in rates:
+            values, rate = rates[f.name]
+            hinted = any(h in f.name.lower() for h in DATE_HINTS)
+            if values >= MIN_DATED and rate >= (min_success if hinted else 0.95):
+                found.append(f.name)
+    return found
+
+
+def date_parse_rates(df: DataFrame, sample: int | None = DATE_SAMPLE) -> dict:
+    """``{text column: (values looked at, share that reads as a date)}``."""
+    names = columns_of(df, CATEGORICAL)
+    if not names:
+        return {}
+    if sample is None:
+        rates = per_column(
+            df, names,
+            {
+                "values": lambda c: F.count(col(c)),
+                "dates": lambda c: F.count(parse_datetime(col(c))),
+            },
+        )
+    else:
+        looked = [
+            df.select(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
+            .where("value is not null")
+            .limit(sample)
+            for c in names
+        ]
+        long = looked[0]
+        for one in looked[1:]:
+            long = long.union(one)
+        rates = long.groupBy("column").agg(
+            F.count("value").alias("values"), F.count(parse_datetime(F.col("value"))).alias("dates")
+        )
+    return {
+        r["column"]: (r["values"], r["dates"] / r["values"] if r["values"] else 0.0)
+        for r in rates.collect()
+    }
+
+
+def identifier_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
+    """Columns that number or name the rows instead of describing them.
+
+    Nearly all values differ, at least 20 of them; numbers must also be whole and dense.
+    """
+    names = list(columns or _profilable(df))
+    kind = kinds(df)
+    rows = df.count()
+    estimate = distinct_counts(df, names, approximate=True)
+    likely = [c for c in names if estimate[c] >= 0.7 * rows and estimate[c] >= 15]
+    if not likely:
+        return []
+    exact = distinct_counts(df, likely)
+    wide = [c for c in likely if exact[c] >= max(20, 0.95 * rows)]
+    whole = [c for c in wide if kind[c] == NUMERIC]
+    dense = set()
+    if whole:
+        ends = per_column(
+            df, whole,
+            {
+                "low": lambda c: F.min(col(c)).cast("double"),
+                "high": lambda c: F.max(col(c)).cast("double"),
+                "fraction": lambda c: F.max(F.abs(col(c).cast("double") % 1.0)),
+            },
+        )
+        for r in ends.collect():
+            span = r["high"] - r["low"] + 1
+            if r["fraction"] == 0 and span <= 1.5 * exact[r["column"]]:
+                dense.add(r["column"])
+    return [c for c in wide if kind[c] != NUMERIC or c in dense]
+
+
+def is_identifier(df: DataFrame, column: str) -> bool:
+    return bool(identifier_columns(df, [resolve(df, column, "is_identifier")]))
+
+
+def dashboard_layout(df: DataFrame) -> DataFrame:
+    """``(position, column, role)``: measures, dimensions and dates worth showing."""
+    names = _profilable(df)
+    kind = kinds(df)
+    skipped = set(identifier_columns(df, names))
+    distinct = distinct_capped(df, names, DASHBOARD_DIMENSION_LIMIT)
+    rows = []
+    for position, c in enumerate(df.columns):
+        if c not in distinct or c in skipped or distinct[c] <= 1:
+            continue
+        if distinct[c] <= DASHBOARD_DIMENSION_LIMIT:
+            rows.append((position, c, "dimension"))
+        elif kind[c] == NUMERIC:
+            rows.append((position, c, "measure"))
+    rows += [(df.columns.index(c), c, "date") for c in detect_datetime_columns(df)]
+    return local_frame(df.sparkSession, rows, "position int, column string, role string")
+
+
+def filter_options(df: DataFrame, dims: Sequence[str], k: int = FILTER_VALUES) -> DataFrame:
+    """The ``k`` most frequent values per dimension, and whether there are more."""
+    names = [resolve(df, d, "dimensions") for d in dims]
+    counted = value_table(df, names)
+    sizes = counted.groupBy("column").agg((F.count(F.lit(1)) > k).alias("truncated"))
+    best = top_k_per(counted, ["column"], [F.desc("count"), F.asc("value")], k)
+    return best.join(F.broadcast(sizes), "column").select(
+        "column", "rank", "value", "count", "truncated"
+    )
+
+
