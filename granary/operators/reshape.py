@@ -11,7 +11,7 @@ from granary.functions.kinds import (
     CATEGORICAL, NUMERIC, col, columns_of, kinds, numeric_columns, require_numeric, resolve,
 )
 from granary.operators.counts import distinct_capped, per_column, top_values, value_counts
-from granary.operators.profile import correlation_pairs, detect_missing_values
+from granary.operators.profiling import correlation_pairs, detect_missing_values
 from granary.operators.quantiles import quantiles
 from granary.operators.query import (
     MAX_GROUPS, NUMERIC_ONLY, Aggregation, grouped_bounded, sample_rows, validate_aggregations,
