@@ -290,23 +290,31 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def dbscan(
-    df: DataFrame, id_column: str, features: str, eps: float, min_samples: int = 5
+    df: DataFrame, features: str, eps: float, min_samples: int = 5, id_column: str | None = None
 ) -> DataFrame:
-    """``(id, cluster, is_core)``: density clusters named by their smallest core id, noise -1.
+    """The table with ``cluster`` and ``is_core``: density clusters, noise is -1.
 
     A point is core with at least ``min_samples`` points within ``eps``, itself included.
     Core points within ``eps`` of each other share a cluster; other points join the smallest
-    cluster among their core neighbours. Equal vectors are folded into one weighted point.
+    cluster among their core neighbours. A cluster is named by its smallest core id, which
+    must not be negative, or by an assigned number where there is no id column. Equal vectors
+    are folded into one weighted point.
     """
     if eps <= 0:
         raise ValidationError("eps must be positive")
-    rows = df.select(
-        col(id_column).cast("long").alias("id"), vector_array(df, features).alias("vec")
-    )
-    folded = rows.groupBy("vec").agg(
-        F.min("id").alias("key"), F.count(F.lit(1)).alias("weight")
-    )
-    points, cells = _cell_points(settled(folded))
+    rows = df.withColumn("vec", vector_array(df, features))
+    weight = F.count(F.lit(1)).alias("weight")
+    if id_column is None:
+        folded = settled(rows.groupBy("vec").agg(weight))
+        folded = folded.withColumn("key", F.monotonically_increasing_id())
+    else:
+        folded = rows.groupBy("vec").agg(F.min(col(id_column)).cast("long").alias("key"), weight)
+    labels = _density_labels(settled(folded), eps, min_samples)
+    return rows.join(labels, "vec").drop("vec")
+
+
+def _density_labels(folded: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    points, cells = _cell_points(folded)
     points = settled(points)
     radii, counts = cells.radii, cells.counts
 
@@ -356,9 +364,8 @@ def dbscan(
     labels = named.select("key", "cluster", F.lit(True).alias("is_core")).unionByName(
         joined.groupBy("key").agg(F.min("cluster").alias("cluster"), F.lit(False).alias("is_core"))
     )
-    by_vector = points.select("vec", "key").join(labels, "key", "left")
-    return rows.join(by_vector, "vec").select(
-        "id",
+    return points.select("vec", "key").join(labels, "key", "left").select(
+        "vec",
         F.coalesce("cluster", F.lit(-1)).alias("cluster"),
         F.coalesce("is_core", F.lit(False)).alias("is_core"),
     )
