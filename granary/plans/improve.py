@@ -15,7 +15,7 @@ from granary.operators.models import TUNABLE, Search, cv_score, tune
 from granary.operators.profiling import class_balance, missing_counts
 from granary.operators.query import sample_rows
 from granary.plans.advice import screen_features
-from granary.session import local_frame, reused
+from granary.session import compact, local_frame, reused
 
 EVAL_ROWS = 4_000
 EVAL_FOLDS = 3
@@ -70,7 +70,7 @@ def recipe_score(
     except (ValidationError, ProcessingError):
         return None, None
     best: tuple[float | None, str | None] = (None, None)
-    with reused(ready) as rows:
+    with reused(compact(ready, EVAL_ROWS)) as rows:
         for name, params in candidates or CANDIDATES[task]:
             try:
                 scored = cv_score(

@@ -20,7 +20,7 @@ from granary.operators.models import (
 )
 from granary.operators.profiling import class_balance, detect_problem_type
 from granary.operators.query import sample_rows
-from granary.session import reused
+from granary.session import compact, reused
 
 K_RANGE = (2, 9)
 
@@ -92,7 +92,7 @@ def _supervised(
     rows, target, task, chosen, options, models, balanced, tuning, cross_validate, facts
 ) -> Run:
     spark = rows.sparkSession
-    train_rows, test_rows = split_data(rows, target, task)
+    train_rows, test_rows = split_data(compact(rows, rows.count()), target, task)
     prep = fit_preparation(train_rows, target, task, chosen, **options)
     with reused(prep.labelled(train_rows)) as train_side, reused(prep.labelled(test_rows)) as test_side:
         facts["train_rows"], facts["test_rows"] = train_side.count(), test_side.count()
@@ -117,8 +117,8 @@ def _supervised(
 def _cluster(rows, chosen, options, k_range, eps_values, facts) -> Run:
     spark = rows.sparkSession
     prep = fit_preparation(rows, None, CLUSTERING, chosen, **options)
-    with reused(prep.labelled(rows)) as ready:
-        facts["train_rows"] = ready.count()
+    facts["train_rows"] = rows.count()
+    with reused(compact(prep.labelled(rows), facts["train_rows"])) as ready:
         results = cluster_zoo(ready, k_range, eps_values)
         ranked = compare_models(results, CLUSTERING)
         best = ranked[0] if ranked else None

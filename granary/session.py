@@ -63,3 +63,9 @@ def local_frame(spark: SparkSession, rows: Sequence, schema) -> DataFrame:
 
 def chunks(items: Sequence, size: int) -> list[list]:
     return [list(items[i : i + size]) for i in range(0, len(items), size)]
+
+
+def compact(df: DataFrame, rows: int, per_partition: int = 50_000) -> DataFrame:
+    """Fewer, fuller partitions for a frame known to be small: iterative fits run one job per
+    step, and on a small table the number of tasks is what costs. Larger frames are unchanged."""
+    return df.coalesce(max(1, rows // per_partition)) if rows < 20 * per_partition else df

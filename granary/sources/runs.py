@@ -10,7 +10,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import SparkSession
 
 from granary.operators.features import Preparation
-from granary.operators.models import Neighbours
+from granary.operators.models import Neighbours, Shifted
 from granary.plans.training import Run, Scorer, scorer
 from granary.session import local_frame
 
@@ -27,6 +27,9 @@ def save_run(run: Run | Scorer, path: str, name: str | None = None) -> None:
     if isinstance(made.model, Neighbours):
         made.model.train.write.mode("overwrite").parquet(f"{path}/train")
         facts["neighbours"] = {"k": made.model.k, "task": made.model.task}
+    elif isinstance(made.model, Shifted):
+        made.model.inner.write().overwrite().save(f"{path}/model")
+        facts["shift"] = made.model.shift
     else:
         made.model.write().overwrite().save(f"{path}/model")
     row = local_frame(spark, [(json.dumps(facts),)], "value string")
@@ -46,4 +49,6 @@ def load_run(path: str) -> Scorer:
         model = Neighbours(train, facts["neighbours"]["task"], facts["neighbours"]["k"])
     else:
         model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+        if "shift" in facts:
+            model = Shifted(model, facts["shift"])
     return Scorer(prep, model, facts["name"])
