@@ -15,21 +15,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from granary.errors import ProcessingError, ValidationError
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterated frame with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    master may fall back to a temporary folder.
+    Only a local master may fall back to a temporary folder of its machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ProcessingError("Set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterated frame with a reliable checkpoint."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ProcessingError("Set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

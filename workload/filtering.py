@@ -52,9 +52,9 @@ def _(t):
     return _totals(t.lineitem, Filter("l_discount", ">", "0.05"))
 
 
-@query("filter_at_least", _sql("l_orderkey >= 100"))
+@query("filter_at_least", _sql("l_extendedprice >= 90000"))
 def _(t):
-    return _totals(t.lineitem, Filter("l_orderkey", ">=", 100))
+    return _totals(t.lineitem, Filter("l_extendedprice", ">=", 90000))
 
 
 @query("filter_less", _sql("l_shipdate < timestamp '1997-03-01'"))
@@ -154,14 +154,14 @@ def _(t):
 
 @query(
     "select_nulls_last_ascending",
-    f"select flag, l_orderkey, l_linenumber, quantity from {GAPS} where l_orderkey <= 40 "
-    "order by flag asc nulls last, l_orderkey nulls last, l_linenumber, quantity nulls last limit 300",
+    f"select flag, l_orderkey, l_linenumber, quantity from {GAPS} where price > 104000 "
+    "order by flag asc nulls last, l_orderkey nulls last, l_linenumber, quantity nulls last limit 1000",
 )
 def _(t):
     spec = QuerySpec(
-        filters=[Filter("l_orderkey", "<=", 40)],
+        filters=[Filter("price", ">", 104000)],
         select=["flag", "l_orderkey", "l_linenumber", "quantity"],
-        sort_by="flag", ascending=True, limit=300,
+        sort_by="flag", ascending=True, limit=1000,
     )
     return run_query(t.gaps(), spec)[0]
 
@@ -330,7 +330,7 @@ def _(t):
 @query(
     "quantiles_by_group",
     """
-    select l_returnflag, 'l_extendedprice' as column, unnest([0.1, 0.25, 0.5, 0.9]) as prob,
+    select l_returnflag, 'l_extendedprice' as column, unnest([0.1, 0.25, 0.5, 0.9]::double[]) as prob,
       round(unnest(quantile_cont(l_extendedprice, [0.1, 0.25, 0.5, 0.9])), 4) as value
     from lineitem group by l_returnflag
     """,
@@ -344,7 +344,7 @@ def _(t):
 @query(
     "quantiles_by_narrowing",
     """
-    select l_linestatus, 'l_extendedprice' as column, unnest([0.05, 0.5, 0.95]) as prob,
+    select l_linestatus, 'l_extendedprice' as column, unnest([0.05, 0.5, 0.95]::double[]) as prob,
       round(unnest(quantile_cont(l_extendedprice, [0.05, 0.5, 0.95])), 4) as value
     from lineitem group by l_linestatus
     """,

@@ -1 +1,260 @@
-"""Placeholder."""
+"""Models, metrics, clustering, neighbours, search, importance and scoring."""
+
+import uuid
+
+from granary.operators import features, models, neighbours
+from granary.plans import training
+from granary.session import local_frame, shared_folder
+from granary.sources import runs
+from pyspark.sql import functions as F
+from workload.registry import LABELLED, query, rounded
+
+LINE = """
+    with f as (select regr_slope(p_retailprice, p_size) as b, regr_intercept(p_retailprice, p_size) as a
+      from part)
+    select p_partkey, round(a + b * p_size, 3) as predicted from part, f
+"""
+
+
+def _size_model(t, name):
+    prep = features.fit_preparation(t.part, "p_retailprice", "regression", ["p_size"])
+    model = models.fit(name, prep.labelled(t.part), "regression")
+    return training.Scorer(prep, model, name)
+
+
+@query("linear_regression", LINE)
+def _(t):
+    scored = training.predict(t.part, _size_model(t, "linear"))
+    return rounded(scored.select("p_partkey", "predicted"), 3)
+
+
+@query(
+    "ridge_regression",
+    """
+    with s as (select avg(p_size) as mx, stddev_pop(p_size) as sx, avg(p_retailprice) as my,
+      count(*) as n from part),
+    z as (select p_partkey, (p_size - mx) / sx as z, p_retailprice - my as y, my, n from part, s),
+    b as (select sum(z * y) / (any_value(n) + 1) as b from z)
+    select p_partkey, round(my + b * z, 3) as predicted from z, b
+    """,
+)
+def _(t):
+    scored = training.predict(t.part, _size_model(t, "ridge"))
+    return rounded(scored.select("p_partkey", "predicted"), 3)
+
+
+@query("saved_run_predicts_the_same", LINE)
+def _(t):
+    path = f"{shared_folder(t.spark)}/run-{uuid.uuid4().hex}"
+    runs.save_run(_size_model(t, "linear"), path)
+    scored = training.predict(t.part.drop("p_retailprice"), runs.load_run(path))
+    return rounded(scored.select("p_partkey", "predicted"), 3)
+
+
+@query(
+    "regression_metrics",
+    """
+    with p as (select o_totalprice as y, 250000.0 + 10 * extract(month from o_orderdate) as f from orders)
+    select round(avg(abs(y - f)), 3) as mae, round(avg((y - f) ** 2) / 1e6, 3) as mse_millions,
+      round(sqrt(avg((y - f) ** 2)), 3) as rmse, round(1 - avg((y - f) ** 2) / var_pop(y), 5) as r2
+    from p
+    """,
+)
+def _(t):
+    predicted = t.orders.select(
+        F.col("o_totalprice").alias("label"),
+        (250000.0 + 10 * F.month("o_orderdate")).alias("prediction"),
+    )
+    m = models.regression_metrics(predicted)
+    row = (m["mae"], m["mse"] / 1e6, m["rmse"], m["r2"])
+    found = local_frame(t.spark, [row], "mae double, mse_millions double, rmse double, r2 double")
+    return found.select(
+        *[F.round(c, 3).alias(c) for c in ("mae", "mse_millions", "rmse")], F.round("r2", 5).alias("r2")
+    )
+
+
+RULE = "case when n_chars > 1500 then 1 else 0 end"
+
+
+@query(
+    "classification_metrics",
+    f"""
+    with p as (select quality as y, {RULE} as f from {LABELLED}),
+    c as (select k, count_if(y = k and f = k)::double as hit, count_if(f = k)::double as guessed,
+      count_if(y = k)::double as support from p, (values (0), (1)) v(k) group by k),
+    s as (select k, case when guessed > 0 then hit / guessed else 0 end as p,
+      case when support > 0 then hit / support else 0 end as r from c)
+    select round((select count_if(y = f)::double / count(*) from p), 6) as accuracy,
+      round(avg(p), 6) as precision, round(avg(r), 6) as recall,
+      round(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0 end), 6) as f1
+    from s
+    """,
+)
+def _(t):
+    predicted = t.labelled().select(
+        F.col("quality").cast("double").alias("label"), F.expr(RULE).cast("double").alias("prediction")
+    )
+    m = models.classification_metrics(predicted)
+    row = (m["accuracy"], m["precision"], m["recall"], m["f1"])
+    schema = "accuracy double, precision double, recall double, f1 double"
+    return rounded(local_frame(t.spark, [row], schema), 6)
+
+
+@query(
+    "confusion_cells",
+    f"select quality::double as label, ({RULE})::double as prediction, count(*) as count "
+    f"from {LABELLED} group by 1, 2",
+)
+def _(t):
+    return models.confusion(
+        t.labelled().select(
+            F.col("quality").cast("double").alias("label"),
+            F.expr(RULE).cast("double").alias("prediction"),
+        )
+    )
+
+
+@query(
+    "nearest_neighbour_vote",
+    """
+    with e as (select vec_id, label::double as label, embedding::double[] as v from embeddings),
+    d as (select a.vec_id, b.label, row_number() over (partition by a.vec_id
+      order by list_distance(a.v, b.v), b.label) as place from e a, e b),
+    n as (select vec_id, label, count(*) as votes from d where place <= 5 group by 1, 2)
+    select vec_id, arg_max(label, votes * 1000 - label) as prediction from n group by 1
+    """,
+)
+def _(t):
+    train = t.embeddings.select(F.col("embedding").alias("features"), "label")
+    asked = t.embeddings.select("vec_id", F.col("embedding").alias("features"))
+    return neighbours.knn_predict(train, asked, 5).select("vec_id", "prediction")
+
+
+@query(
+    "nearest_neighbour_mean",
+    """
+    with e as (select p_partkey, p_retailprice as label, p_partkey::double as x, p_size * 10.0 as y
+      from part),
+    d as (select a.p_partkey, b.label, row_number() over (partition by a.p_partkey
+      order by sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.label) as place from e a, e b)
+    select p_partkey, round(avg(label), 4) as prediction from d where place <= 5 group by 1
+    """,
+)
+def _(t):
+    rows = t.part.selectExpr(
+        "p_partkey", "p_retailprice as label",
+        "array(cast(p_partkey as double), cast(p_size * 10 as double)) as features",
+    )
+    found = neighbours.knn_predict(rows, rows.drop("label"), 5, "regression")
+    return rounded(found.select("p_partkey", "prediction"))
+
+
+@query(
+    "density_clusters",
+    """
+    with p as (select c_custkey, c_acctbal / 1000 as x, c_nationkey / 2.0 as y from customer),
+    n as (select a.c_custkey as a, b.c_custkey as b from p a, p b
+      where sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.2),
+    c as (select a from n group by 1 having count(*) >= 5),
+    r as (select a, bool_or(b in (select a from c)) as reached from n group by 1)
+    select c_custkey, c_custkey in (select a from c) as is_core, not reached as is_noise
+    from p join r on r.a = p.c_custkey
+    """,
+)
+def _(t):
+    rows = t.customer.selectExpr("c_custkey", "array(c_acctbal / 1000, c_nationkey / 2.0D) as features")
+    found = neighbours.dbscan(rows, "features", 0.2, 5, "c_custkey")
+    return found.select("c_custkey", "is_core", (F.col("cluster") == -1).alias("is_noise"))
+
+
+def _blobs(t):
+    return models.as_vectors(t.embeddings, "embedding").select("features")
+
+
+@query("kmeans_sizes", "select count(*) as rows, 4::bigint as clusters from embeddings")
+def _(t):
+    df = _blobs(t)
+    sizes = models.cluster_sizes(models.fit_kmeans(df, 4).transform(df))
+    return sizes.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("clusters"))
+
+
+@query("bisecting_sizes", "select count(*) as rows, 4::bigint as clusters from customer")
+def _(t):
+    ready, _ = features.prepare_features(
+        t.customer, None, "clustering", ["c_acctbal", "c_nationkey"]
+    )
+    sizes = models.cluster_sizes(models.fit_bisecting(ready, 4).transform(ready))
+    return sizes.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("clusters"))
+
+
+@query("cluster_metrics")
+def _(t):
+    df = _blobs(t)
+    rows = []
+    for k in (2, 3):
+        model = models.fit_kmeans(df, k)
+        m = models.cluster_metrics(model.transform(df), model)
+        rows.append((m["k"], m["silhouette"], m["inertia"], m["noise"]))
+    return local_frame(t.spark, rows, "k int, silhouette double, inertia double, noise long")
+
+
+@query("cluster_importance")
+def _(t):
+    ready, prep = features.prepare_features(t.customer, None, "clustering")
+    return models.cluster_importance(models.fit_kmeans(ready, 3), ready, prep.feature_names)
+
+
+@query("classification_leaderboard")
+def _(t):
+    run = training.train(
+        t.labelled(), "quality", "classification", ["n_chars", "lang", "toxic"],
+        models=["logistic", "decision_tree", "naive_bayes", "linear_svc", "knn"], balanced=True,
+        cross_validate=False,
+    )
+    return run.leaderboard
+
+
+@query("regression_leaderboard")
+def _(t):
+    run = training.train(
+        t.part, "p_retailprice", models=["linear", "ridge", "decision_tree", "gbt"],
+        cross_validate=False,
+    )
+    return run.leaderboard
+
+
+@query("clustering_leaderboard")
+def _(t):
+    df = t.customer.select("c_acctbal", "c_nationkey")
+    run = training.train(df, task="clustering", k_range=(2, 3), eps_values=(0.2,))
+    return run.leaderboard
+
+
+@query("feature_importance")
+def _(t):
+    run = training.train(
+        t.part, "p_retailprice", models=["random_forest"], cross_validate=False
+    )
+    return run.importance
+
+
+@query("cross_validated_score")
+def _(t):
+    ready, _ = features.prepare_features(t.part, "p_retailprice", "regression")
+    found = models.cv_score("ridge", ready, "regression", max_rows=None)
+    return local_frame(t.spark, [found], "mean double, std double")
+
+
+@query("random_search")
+def _(t):
+    ready, _ = features.prepare_features(t.part, "p_retailprice", "regression", ["p_size", "p_type"])
+    return models.tune("decision_tree", ready, "regression", iterations=4).tried
+
+
+@query("scored_classes")
+def _(t):
+    run = training.train(
+        t.labelled(), "quality", "classification", ["n_chars", "lang"], models=["naive_bayes"],
+        cross_validate=False,
+    )
+    return training.predict(t.documents.select("doc_id", "lang", "n_chars"), run)

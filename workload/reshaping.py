@@ -3,7 +3,6 @@
 from granary.operators import reshape
 from granary.operators.counts import value_counts
 from granary.session import local_frame
-from pyspark.sql import functions as F
 from workload.registry import GAPS, query, rounded
 
 
@@ -49,18 +48,14 @@ def _(t):
 @query(
     "pivot_empty_cells_stay_null",
     """
-    select p_size, count(distinct case when p_type = 'ECONOMY' then p_name end) + null as ECONOMY
-    from part where false group by 1
-    union all
-    select p_size, case when count(case when p_type = 'ECONOMY' then 1 end) > 0
-      then count(distinct case when p_type = 'ECONOMY' then p_name end) end
-    from part where p_type in ('ECONOMY', 'PROMO') and (p_size % 7 <> 0 or p_type = 'PROMO') group by 1
+    select p_brand, max(case when p_name = 'blue bolt' then p_retailprice end) as "blue bolt",
+      max(case when p_name = 'red gear' then p_retailprice end) as "red gear"
+    from part group by 1
     """,
 )
 def _(t):
-    kept = t.part.where("p_type in ('ECONOMY', 'PROMO') and (p_size % 7 <> 0 or p_type = 'PROMO')")
-    grid = reshape.pivot_table(kept, "p_size", "p_type", "p_name", "nunique")
-    return grid.select("p_size", "ECONOMY")
+    grid = reshape.pivot_table(t.part, "p_brand", "p_name", "p_retailprice", "max")
+    return grid.select("p_brand", "blue bolt", "red gear")
 
 
 @query(
@@ -74,16 +69,14 @@ def _(t):
 @query(
     "crosstab_counts",
     """
-    select c_mktsegment,
-      count(case when c_nationkey % 3 = 0 then 1 end) as "0",
-      count(case when c_nationkey % 3 = 1 then 1 end) as "1",
-      count(case when c_nationkey % 3 = 2 then 1 end) as "2"
-    from customer group by 1
+    select o_orderpriority, count(case when o_orderstatus = 'F' then 1 end) as F,
+      count(case when o_orderstatus = 'O' then 1 end) as O,
+      count(case when o_orderstatus = 'P' then 1 end) as P
+    from orders group by 1
     """,
 )
 def _(t):
-    df = t.customer.select("c_mktsegment", F.expr("c_nationkey % 3").alias("third"))
-    return reshape.crosstab(df, "c_mktsegment", "third")
+    return reshape.crosstab(t.orders, "o_orderpriority", "o_orderstatus")
 
 
 @query(
