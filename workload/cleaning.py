@@ -169,7 +169,7 @@ def _(t):
     """
     select 'p_size' as feature, round(sum(z * z), 3) as squares, count_if(z <> 0)::bigint as filled
     from (select (p_size - avg(p_size) over ()) / stddev_pop(p_size) over () as z from part)
-    union all select 'p_retailprice', round(sum(z * z), 3), count_if(z <> 0) from (
+    union all select 'p_retailprice', round(sum(z * z), 3), count_if(z <> 0)::bigint from (
       select (p_retailprice - avg(p_retailprice) over ()) / stddev_pop(p_retailprice) over () as z
       from part)
     union all select concat('p_type_', p_type), count(*)::double, count(*) from part group by 1
