@@ -55,9 +55,9 @@ def _(t):
     c as (select event_type, count(*) as n from e group by 1 order by 2 desc, 1 limit 1)
     select 'rows' as tile, count(*)::double as value, null as text from e
     union all select 'rows_total', count(*)::double, null from events
-    union all select 'total', round(sum(value), 2), 'value' from e
-    union all select 'average', round(avg(value), 2), 'value' from e
-    union all select 'median', round(quantile_cont(value, 0.5), 2), 'value' from e
+    union all select 'total', round(sum(value), 3), 'value' from e
+    union all select 'average', round(avg(value), 3), 'value' from e
+    union all select 'median', round(quantile_cont(value, 0.5), 3), 'value' from e
     union all select 'top_category', n::double, event_type from c
     union all select 'top_share_pct', round(100.0 * n / (select count(*) from e), 2), event_type from c
     union all select 'first_date', null, strftime(min(ts), '%Y-%m-%d') from e
@@ -67,7 +67,7 @@ def _(t):
 )
 def _(t):
     filters = [Filter("event_type", "in", ["click", "view"])]
-    return rounded(dashboard.dashboard_kpis(t.events, filters, "value", "event_type", "ts"), 2)
+    return rounded(dashboard.dashboard_kpis(t.events, filters, "value", "event_type", "ts"), 3)
 
 
 @query(

@@ -69,8 +69,11 @@ def _(t):
 @query(
     "weekly_sum_chosen_automatically",
     f"""
-    select {_day('d + ((7 - isodow(d)) % 7)::int')} as period, round(sum(v), 2) as value
-    from (select o_orderdate::date as d, o_totalprice as v from orders) group by 1
+    with w as (select d + ((7 - isodow(d)) % 7)::int as w, sum(v) as v
+      from (select o_orderdate::date as d, o_totalprice as v from orders) group by 1),
+    c as (select unnest(generate_series((select min(w) from w)::timestamp,
+      (select max(w) from w)::timestamp, interval 7 day))::date as w)
+    select {_day('c.w')} as period, round(coalesce(v, 0), 2) as value from c left join w on c.w = w.w
     """,
 )
 def _(t):
