@@ -43,6 +43,14 @@ def unit_number(c: Column) -> Column:
 
 
 def numeric_text(c: Column) -> Column:
-    """The number in a text, tried as feet and inches, then as a sum, then with units."""
+    """The number in a text, tried as feet and inches, then as a sum, then with units.
+
+    The cheap tests in front spare most texts most of the patterns.
+    """
     text = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.coalesce(feet_inches(text), additive(text), unit_number(text))
+    parsed = F.coalesce(
+        F.when(F.contains(text, F.lit("'")), feet_inches(text)),
+        F.when(F.contains(text, F.lit("+")), additive(text)),
+        unit_number(text),
+    )
+    return F.when(c.rlike("[0-9]"), parsed)

@@ -6,7 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation as MLCorrelation
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.errors import ValidationError
@@ -20,11 +24,10 @@ from granary.operators.counts import (
     value_counts, value_table,
 )
 from granary.operators.quantiles import quantiles
-from granary.session import chunks, local_frame
+from granary.session import local_frame
 
 MAX_CARDINALITY = 50
 TOP_PAIRS = 10
-PAIRS_PER_JOB = 200
 OUTLIER_MIN_DISTINCT = 8
 IQR_FACTOR = 1.5
 DIMENSION_LIMIT = 15
@@ -190,29 +193,71 @@ def generate_statistics(df: DataFrame) -> Statistics:
 # -- correlation -----------------------------------------------------------
 
 
+def _product_means(df: DataFrame, values: Sequence[Column]) -> np.ndarray:
+    """Mean of the product of every two columns, by one distributed covariance pass."""
+    names = [f"v{i}" for i in range(len(values))]
+    wide = df.select(*[v.alias(n) for v, n in zip(values, names)])
+    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(wide).select("v")
+    kind = Summarizer.metrics("mean", "std", "count").summary(F.col("v")).alias("s")
+    found = vectors.agg(kind).first()["s"]
+    mean, std, n = found["mean"].toArray(), found["std"].toArray(), found["count"]
+    corr = np.nan_to_num(MLCorrelation.corr(vectors, "v").first()[0].toArray())
+    np.fill_diagonal(corr, 1.0)
+    return corr * np.outer(std, std) * ((n - 1) / n) + np.outer(mean, mean)
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Pearson correlation of every two columns over the rows where both have a value.
+
+    Gaps are set to 0 after centring. The sums over complete pairs are then plain products of
+    centred values, their squares and presence flags, so one covariance pass serves every
+    pair however many there are. Without gaps the centred values suffice.
+    """
+    doubles = {c: col(c).cast("double") for c in columns}
+    base = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(doubles.values())],
+        *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(doubles.values())],
+        *[F.count(x).alias(f"k{i}") for i, x in enumerate(doubles.values())],
+    ).first()
+    p = len(columns)
+    empty = np.full((p, p), np.nan)
+    if base["n"] < 2:
+        return empty
+    z = [
+        F.coalesce((x - F.lit(base[f"m{i}"] or 0.0)) / F.lit(base[f"s{i}"] or 1.0), F.lit(0.0))
+        for i, x in enumerate(doubles.values())
+    ]
+    gapless = all(base[f"k{i}"] == base["n"] for i in range(p))
+    if gapless:
+        products = _product_means(df, z)
+        spread = np.sqrt(np.outer(products.diagonal(), products.diagonal()))
+        return np.divide(products, spread, out=empty, where=spread > 1e-12)
+    there = [F.when(x.isNotNull(), 1.0).otherwise(0.0) for x in doubles.values()]
+    products = _product_means(df, [*z, *[x * x for x in z], *there])
+    both = products[2 * p :, 2 * p :]
+    sums, squares = products[:p, 2 * p :], products[p : 2 * p, 2 * p :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mx, my = sums / both, sums.T / both
+        vx, vy = squares / both - mx * mx, squares.T / both - my * my
+        cov = products[:p, :p] / both - mx * my
+        corr = cov / np.sqrt(vx * vy)
+    enough = (both * base["n"] > 1.5) & (vx > 1e-12) & (vy > 1e-12)
+    return np.where(enough, corr, np.nan)
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair, over rows where both have a value."""
+    """``(a, b, corr)`` of every pair of numeric columns; null where it is not defined."""
     names = list(columns or numeric_columns(df))
-    pairs = list(combinations(names, 2))
-    if not pairs:
-        return local_frame(df.sparkSession, [], "a string, b string, corr double")
-    parts = []
-    for part in chunks(pairs, PAIRS_PER_JOB):
-        wide = df.agg(
-            *[
-                F.corr(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}")
-                for i, (a, b) in enumerate(part)
-            ]
-        )
-        rows = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr"))
-            for i, (a, b) in enumerate(part)
-        ]
-        parts.append(wide.select(F.inline(F.array(*rows))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.select("a", "b", F.when(~F.isnan("corr"), F.col("corr")).alias("corr"))
+    matrix = correlation_matrix(df, names) if len(names) > 1 else None
+    rows = [
+        (names[i], names[j], _known(matrix[i, j])) for i, j in combinations(range(len(names)), 2)
+    ]
+    return local_frame(df.sparkSession, rows, "a string, b string, corr double")
+
+
+def _known(r: float) -> float | None:
+    return None if np.isnan(r) else float(min(1.0, max(-1.0, r)))
 
 
 @dataclass(frozen=True)
@@ -226,26 +271,21 @@ def generate_correlation_matrix(df: DataFrame, k: int = TOP_PAIRS) -> Correlatio
     names = numeric_columns(df)
     if len(names) < 2:
         return None
-    pairs = correlation_pairs(df, names)
-    top = (
-        pairs.where("corr is not null")
-        .orderBy(F.desc(F.abs("corr")), "a", "b")
-        .limit(k)
-    )
-    self_corr = per_column(
-        df, names, {"spread": lambda c: F.stddev_pop(col(c).cast("double"))}
-    ).select(
-        F.col("column").alias("a"), F.col("column").alias("b"),
-        F.when(F.col("spread") > 0, 1.0).alias("corr"),
-    )
-    both_ways = F.inline(
-        F.array(
-            F.struct(F.col("a"), F.col("b"), F.col("corr")),
-            F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("corr")),
-        )
-    )
-    matrix = pairs.select(both_ways).union(self_corr)
-    return Correlation(matrix.withColumn("corr", F.round("corr", 3)), top)
+    found = correlation_matrix(df, names)
+    cells = [
+        (a, b, None if np.isnan(found[i, j]) else round(_known(found[i, j]), 3))
+        for i, a in enumerate(names)
+        for j, b in enumerate(names)
+    ]
+    pairs = [
+        (names[i], names[j], _known(found[i, j]))
+        for i, j in combinations(range(len(names)), 2)
+        if not np.isnan(found[i, j])
+    ]
+    pairs.sort(key=lambda r: (-abs(r[2]), r[0], r[1]))
+    schema = "a string, b string, corr double"
+    spark = df.sparkSession
+    return Correlation(local_frame(spark, cells, schema), local_frame(spark, pairs[:k], schema))
 
 
 # -- outliers --------------------------------------------------------------

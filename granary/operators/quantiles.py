@@ -21,7 +21,7 @@ from granary.errors import ValidationError
 from granary.functions.kinds import col
 from granary.session import local_frame, take_bounded
 
-DIRECT_VALUES = 4_000_000
+DIRECT_VALUES = 6_000_000
 LISTED_VALUES = 10_000
 GRID_STEPS = 400
 SKETCH_ACCURACY = 2_000
