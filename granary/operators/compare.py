@@ -356,42 +356,46 @@ def is_leaky(df: DataFrame, column: str, target: str) -> bool:
     return bool(leaky_columns(df, [resolve(df, column, "is_leaky")], resolve(df, target, "target")))
 
 
-def _discrete_numbers(df: DataFrame, columns: Sequence[str]) -> set[str]:
-    """Whole-number columns with few values: codes, not measurements."""
+def _numeric_traits(df: DataFrame, columns: Sequence[str]) -> tuple[set[str], list[str]]:
+    """Whole-number columns with few values (codes, not measurements), and columns with gaps."""
     if not columns:
-        return set()
-    few = distinct_capped(df, columns, DISCRETE_LIMIT)
-    likely = [c for c in columns if few[c] <= DISCRETE_LIMIT]
-    if not likely:
-        return set()
-    parts = per_column(df, likely, {"part": lambda c: F.max(F.abs(col(c).cast("double") % 1.0))})
-    return {r["column"] for r in parts.collect() if not r["part"]}
+        return set(), []
+    traits = per_column(
+        df, columns,
+        {
+            "part": lambda c: F.max(F.abs(col(c).cast("double") % 1.0)),
+            "missing": lambda c: F.count_if(col(c).isNull()),
+        },
+    ).collect()
+    few = distinct_capped(df, [r["column"] for r in traits if not r["part"]], DISCRETE_LIMIT)
+    discrete = {c for c, n in few.items() if n <= DISCRETE_LIMIT}
+    return discrete, [r["column"] for r in traits if r["missing"]]
 
 
 def _coded(df: DataFrame, columns: Sequence[str]):
     """Every column as a text code. Measurements are cut at sketched quantiles."""
     numeric = [c for c in columns if kinds(df)[c] == NUMERIC]
-    discrete = _discrete_numbers(df, numeric)
+    discrete, gappy = _numeric_traits(df, numeric)
     binned = [c for c in numeric if c not in discrete]
-    fills = quantiles(df, numeric, [0.5]) if numeric else {}
+    fills = {c: q[0] for c, q in quantiles(df, gappy, [0.5]).items()} if gappy else {}
+
+    def value(c):
+        x = col(c).cast("double")
+        return F.coalesce(x, F.lit(fills[c])) if fills.get(c) is not None else x
+
     codes = {}
     if binned:
         cuts = F.array(*[F.lit(i / MI_BINS) for i in range(1, MI_BINS)])
         found = df.agg(
-            *[
-                F.percentile_approx(col(c).cast("double"), cuts, 10_000).alias(f"q{i}")
-                for i, c in enumerate(binned)
-            ]
+            *[F.percentile_approx(value(c), cuts, 10_000).alias(f"q{i}") for i, c in enumerate(binned)]
         ).first()
         for i, c in enumerate(binned):
-            x = F.coalesce(col(c).cast("double"), F.lit(fills[c][0]))
             edges = sorted(set(found[i] or []))
-            code = sum((F.when(x > e, 1).otherwise(0) for e in edges), F.lit(0))
+            code = sum((F.when(value(c) > e, 1).otherwise(0) for e in edges), F.lit(0))
             codes[c] = code.cast("string")
     for c in columns:
         if c in discrete:
-            filled = F.coalesce(col(c).cast("double"), F.lit(fills[c][0]))
-            codes[c] = filled.cast("string")
+            codes[c] = value(c).cast("string")
         elif c not in codes:
             codes[c] = F.coalesce(col(c).cast("string"), F.lit("missing"))
     return codes, set(binned)

@@ -118,6 +118,8 @@ def distinct_capped(df: DataFrame, columns: Sequence[str], cap: int) -> dict[str
     A cheap sketch sorts out the columns far above the cap, so the exact count, which must
     shuffle every distinct value, touches only columns with few of them.
     """
+    if not columns:
+        return {}
     estimate = distinct_counts(df, columns, approximate=True)
     low = [c for c in columns if estimate[c] <= 2 * cap + 10]
     return {**estimate, **distinct_counts(df, low)}

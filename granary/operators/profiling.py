@@ -417,13 +417,19 @@ class Detection:
     candidates: DataFrame
 
 
-def detect_problem_type(df: DataFrame, target: str | None = None) -> Detection:
-    """Score every column as a target and derive the task from the best or the given one."""
+def detect_problem_type(
+    df: DataFrame, target: str | None = None, exact: bool = True
+) -> Detection:
+    """Score every column as a target and derive the task from the best or the given one.
+
+    The scores need distinct counts up to MAX_CARDINALITY only; without ``exact`` the counts
+    above that are sketched, which spares shuffling every value of wide-ranging columns.
+    """
     if target is not None:
         target = resolve(df, target, "target")
     names = _profilable(df)
     kind = kinds(df)
-    distinct = distinct_counts(df, names)
+    distinct = distinct_counts(df, names) if exact else distinct_capped(df, names, MAX_CARDINALITY)
     pairs = _two_values(df, [c for c in names if distinct[c] == 2 and kind[c] == CATEGORICAL])
     rows = []
     for position, c in enumerate(names):

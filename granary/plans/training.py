@@ -56,8 +56,7 @@ def train(
         target = resolve(df, target, "target")
     frame, coerced = coerce_numeric_columns(df)
     frame, _ = drop_empty_columns(frame)
-    frame = frame.dropDuplicates()
-    detected = detect_problem_type(frame, target)
+    detected = detect_problem_type(frame, target, exact=False)
     task = task or detected.problem_type
     target = None if task == CLUSTERING else detected.target
     if task != CLUSTERING and target is None:
@@ -65,21 +64,22 @@ def train(
     if target is not None:
         frame = drop_null_rows(frame, [target])
     chosen = list(features) if features is not None else None
-    specs: list[Derived] = []
-    if derived:
-        frame, added = build_features(frame, derived)
-        specs = [s for s in derived if s.column in added]
-        chosen = None if chosen is None else list(dict.fromkeys([*chosen, *added]))
-    facts: dict = {"coerced": coerced, "derived": [s.column for s in specs]}
-    if remove_outliers and task != CLUSTERING:
-        trimmed = drop_outliers(frame, [c for c in frame.columns if c != target])
-        frame = trimmed.frame
-        facts["outliers_removed"] = trimmed.rows_removed
-    if max_rows is not None:
-        frame = sample_rows(frame, max_rows)
-    made = {s.column for s in specs}
-    raw = frame.select(*[col(c) for c in frame.columns if c not in made])
-    with reused(raw) as rows:
+    facts: dict = {"coerced": coerced}
+    with reused(frame.dropDuplicates()) as unique:
+        rows, specs = unique, []
+        if derived:
+            rows, added = build_features(rows, derived)
+            specs = [s for s in derived if s.column in added]
+            chosen = None if chosen is None else list(dict.fromkeys([*chosen, *added]))
+        facts["derived"] = [s.column for s in specs]
+        if remove_outliers and task != CLUSTERING:
+            trimmed = drop_outliers(rows, [c for c in rows.columns if c != target])
+            rows = trimmed.frame
+            facts["outliers_removed"] = trimmed.rows_removed
+        if max_rows is not None:
+            rows = sample_rows(rows, max_rows)
+        # Derived columns are rebuilt by the preparation, on training and new rows alike.
+        rows = rows.select(*[col(c) for c in unique.columns])
         options = {"numeric": numeric, "categorical": categorical, "derived": specs}
         if task == CLUSTERING:
             return _cluster(rows, chosen, options, k_range, eps_values, facts)

@@ -28,14 +28,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterated frame with a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 @contextmanager
 def reused(df: DataFrame) -> Iterator[DataFrame]:
     """Keep a frame across the passes of one operator. Spills to disk, rebuilt if lost."""
@@ -46,6 +38,18 @@ def reused(df: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame with a reliable checkpoint.
+
+    Spark computes a frame once to run it and again to write it, so it is kept meanwhile.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    with reused(df) as kept:
+        return kept.checkpoint()
+
+
 def take_bounded(df: DataFrame, limit: int, message: str) -> list[Row]:
     """Rows of a result that must be small: never fetches more than ``limit + 1``."""
     rows = df.take(limit + 1)

@@ -27,12 +27,16 @@ def detect_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(
-    spark: SparkSession, path: str, sep: str | None = None, schema: T.StructType | str | None = None
+    spark: SparkSession, path: str, sep: str | None = None,
+    schema: T.StructType | str | None = None, multiline: bool = False,
 ) -> DataFrame:
-    """A CSV file or folder with a header. Give a schema to save the pass that infers one."""
+    """A CSV file or folder with a header. Give a schema to save the pass that infers one.
+
+    ``multiline`` allows line breaks inside quotes; such files cannot be split between tasks.
+    """
     separator = sep or detect_separator(spark, path)
     reader = spark.read.option("header", True).option("sep", separator)
-    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", False)
+    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multiline)
     if schema is not None:
         return normalise_nulls(reader.option("nullValue", "").schema(schema).csv(path))
     text = _blank_to_null(reader.csv(path))

@@ -49,3 +49,8 @@ def test_acceptance(spark, tmp_path, sales):
 def test_preview_rounds(spark):
     df = spark.sql("select 1.23456789D as a, 1234567890.1234D as b")
     assert tuple(preview(df).first()) == (1.234568, 1234567890.12)
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    df = read_csv(spark, write(tmp_path, 'a,b\n1,"x\ny"\n'), multiline=True)
+    assert tuple(df.first()) == (1, "x\ny")
