@@ -1,6 +1,6 @@
 """Nearest neighbours and density clustering over vectors, exact and in bounded tasks.
 
-Points are filed under the nearest of a few hundred pivots. A query visits a cell only if the
+Points are filed under the nearest of about sqrt(n) pivots. A query visits a cell only if the
 triangle inequality leaves room for a neighbour there. Visits are worked off in blocks: both
 the points and the visitors of a cell are split by hash into pieces of about BLOCK rows, so a
 cell holding a third of the table becomes many tasks. A block never emits its pairs, only
@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 
 from granary.errors import ValidationError
 from granary.functions.kinds import col
-from granary.session import settled
+from granary.session import local_frame, settled
 
 # The kernels travel to the executors with the job, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 2_000
-MAX_PIVOTS = 512
+MAX_PIVOTS = 8_192
 ROUNDING = 1e-9
 _SLAB = 4_000_000
 
@@ -52,6 +52,14 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def slices(batches, width: int):
+    """Cut Arrow batches so that a slice's distances to all pivots stay small."""
+    step = max(1, _SLAB // width)
+    for pdf in batches:
+        for i in range(0, len(pdf), step):
+            yield pdf.iloc[i : i + step]
+
+
 @dataclass(frozen=True)
 class Cells:
     """Pivots with the number of points filed under each and their farthest distance."""
@@ -76,11 +84,10 @@ def _filed(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add ``cell`` and ``off``: the nearest pivot and the distance to it."""
 
     def file(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = distances(np.stack(pdf["vec"].to_numpy()), pivots)
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), off=d[np.arange(len(pdf)), cell])
+        for pdf in slices(batches, len(pivots)):
+            d = distances(np.stack(pdf["vec"].to_numpy()), pivots)
+            cell = d.argmin(axis=1)
+            yield pdf.assign(cell=cell.astype("int32"), off=d[np.arange(len(pdf)), cell])
 
     schema = T.StructType(
         [
@@ -100,15 +107,28 @@ def _cell_points(points: DataFrame) -> tuple[DataFrame, Cells]:
     for r in filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("far")).collect():
         counts[r["cell"]], radii[r["cell"]] = r["n"], r["far"]
     cells = Cells(pivots, counts, radii)
-    return _with_block(filed, cells.blocks, "cell", "block"), cells
+    return _with_block(filed, cells.blocks, "block"), cells
+
+
+def _sized(df: DataFrame, sizes: np.ndarray) -> DataFrame:
+    """Add ``pieces``: how many blocks the row's cell is split into. One row per pivot."""
+    if sizes.max() == 1:
+        return df.withColumn("pieces", F.lit(1))
+    rows = [(i, int(n)) for i, n in enumerate(sizes)]
+    table = local_frame(df.sparkSession, rows, "cell int, pieces int")
+    return df.join(F.broadcast(table), "cell")
+
 
+def _with_block(df: DataFrame, sizes: np.ndarray, output: str) -> DataFrame:
+    """Put each row into one piece of its cell, by a hash of its key."""
+    piece = F.pmod(F.xxhash64(F.lit(29), "key"), F.col("pieces")).cast("int")
+    return _sized(df, sizes).withColumn(output, piece).drop("pieces")
 
-def _with_block(df: DataFrame, blocks: np.ndarray, cell: str, output: str) -> DataFrame:
-    if blocks.max() == 1:
-        return df.withColumn(output, F.lit(0))
-    sizes = F.array(*[F.lit(int(b)) for b in blocks])
-    size = F.element_at(sizes, F.col(cell) + 1)
-    return df.withColumn(output, F.pmod(F.xxhash64(F.lit(29), "key"), size).cast("int"))
+
+def _in_every_block(df: DataFrame, sizes: np.ndarray, output: str) -> DataFrame:
+    """Copy each row into every piece of its cell."""
+    every = F.sequence(F.lit(0), F.col("pieces") - 1)
+    return _sized(df, sizes).withColumn(output, F.explode(every)).drop("pieces")
 
 
 def _visits(visitors: DataFrame, cells: Cells, choose: Callable) -> DataFrame:
@@ -116,11 +136,10 @@ def _visits(visitors: DataFrame, cells: Cells, choose: Callable) -> DataFrame:
     pivots = cells.pivots
 
     def plan(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = distances(np.stack(pdf["vec"].to_numpy()), pivots)
-                row, cell = np.nonzero(choose(pdf, d))
-                yield pdf[["key", "vec"]].iloc[row].assign(cell=cell.astype("int32"))
+        for pdf in slices(batches, len(pivots)):
+            d = distances(np.stack(pdf["vec"].to_numpy()), pivots)
+            row, cell = np.nonzero(choose(pdf, d))
+            yield pdf[["key", "vec"]].iloc[row].assign(cell=cell.astype("int32"))
 
     schema = T.StructType(
         [visitors.schema["key"], visitors.schema["vec"], T.StructField("cell", T.IntegerType())]
@@ -136,21 +155,8 @@ def _meet(
     for r in visits.groupBy("cell").count().collect():
         found[r["cell"]] = r["count"]
     crowd = np.maximum(1, -(-found // BLOCK))
-    guests = _with_block(visits, crowd, "cell", "crowd")
-    hosts = points
-    if cells.blocks.max() > 1:
-        sizes = F.array(*[F.lit(int(b)) for b in cells.blocks])
-        every = F.sequence(F.lit(0), F.element_at(sizes, F.col("cell") + 1) - 1)
-        guests = guests.withColumn("block", F.explode(every))
-    else:
-        guests = guests.withColumn("block", F.lit(0))
-    if crowd.max() > 1:
-        sizes = F.array(*[F.lit(int(b)) for b in crowd])
-        every = F.sequence(F.lit(0), F.element_at(sizes, F.col("cell") + 1) - 1)
-        hosts = hosts.withColumn("crowd", F.explode(every))
-    else:
-        hosts = hosts.withColumn("crowd", F.lit(0))
-
+    guests = _in_every_block(_with_block(visits, crowd, "crowd"), cells.blocks, "block")
+    hosts = _in_every_block(points, crowd, "crowd")
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
