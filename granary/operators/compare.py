@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.errors import ValidationError
-from granary.functions.kinds import NUMERIC, col, columns_of, kinds, require_numeric, resolve
+from granary.functions.kinds import NUMERIC, col, kinds, require_numeric, resolve
 from granary.functions.tails import chi2_sf, f_sf, normal_sf, t_two_sided
 from granary.operators.counts import distinct_capped, per_column
 from granary.operators.quantiles import medians_by_group, quantiles

@@ -20,8 +20,8 @@ from granary.functions.kinds import (
     kind_of, kinds, numeric_columns, resolve,
 )
 from granary.operators.counts import (
-    DISTINCT_PER_JOB, distinct_capped, distinct_counts, melted, per_column, top_k_per, top_values,
-    value_counts, value_table,
+    DISTINCT_PER_JOB, distinct_capped, distinct_counts, per_column, top_k_per, top_values,
+    value_table,
 )
 from granary.operators.quantiles import quantiles
 from granary.session import local_frame

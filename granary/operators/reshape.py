@@ -14,9 +14,9 @@ from granary.operators.counts import distinct_capped, per_column, top_values, va
 from granary.operators.profiling import correlation_pairs, detect_missing_values
 from granary.operators.quantiles import quantiles
 from granary.operators.query import (
-    MAX_GROUPS, NUMERIC_ONLY, Aggregation, grouped_bounded, sample_rows, validate_aggregations,
+    MAX_GROUPS, Aggregation, grouped_bounded, sample_rows, validate_aggregations,
 )
-from granary.session import local_frame, take_bounded
+from granary.session import local_frame
 
 MAX_PIVOT_CELLS = 4 * MAX_GROUPS
 BINS = 30

@@ -6,11 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from granary.errors import ProcessingError, ValidationError
 from granary.functions.kinds import col, drop_null_rows, resolve
-from granary.operators.clean import clean_dataset, coerce_numeric_columns, drop_empty_columns, drop_outliers
+from granary.operators.clean import coerce_numeric_columns, drop_empty_columns, drop_outliers
 from granary.operators.features import (
     Derived, Preparation, build_features, fit_preparation, split_data,
 )

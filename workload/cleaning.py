@@ -8,7 +8,7 @@ from granary.session import local_frame, shared_folder
 from granary.sources.tables import preview, read_csv, validate_table
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
-from workload.registry import COPIES, GAPS, TEXTS, query, rounded
+from workload.registry import COPIES, GAPS, TEXTS, query
 
 
 @query(
