@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import simhash
+from granary.llm import quality, simhash, toxicity
+from granary.llm.common import fold
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit_quality(docs, table(spark, folder, "labels"), fold("doc_id", 3) != 1)
+    score = quality.quality_score(F.col("text"), model)
+    found = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score.alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"), fold("doc_id", 3) != 1)
+    score = toxicity.toxicity_score(F.col("text"), model)
+    found = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score.alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -20,5 +37,7 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_toxicity": op5_toxicity,
 }
 SQL: dict[str, str] = {}
