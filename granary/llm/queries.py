@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import quality, simhash, toxicity
+from granary.llm import decontaminate, mixing, quality, simhash, toxicity
 from granary.llm.common import fold
 
 
@@ -35,9 +35,36 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.contaminated(docs, items)
+
+
+OP6_SQL = r"""
+with cut as (
+  select 'd' as side, doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w
+  from documents
+  union all
+  select 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') from benchmark
+), runs as (
+  select distinct side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) as s
+  from cut where len(w) >= 5
+), sizes as (select id, count(*) as n_shingles from runs where side = 'i' group by id)
+select d.id as doc_id, i.id as item_id, n_shingles, count(*) as n_shared, count(*) / n_shingles as containment
+from runs d join runs i on d.s = i.s and d.side = 'd' and i.side = 'i' join sizes on sizes.id = i.id
+group by d.id, i.id, n_shingles having count(*) >= 0.8 * n_shingles
+"""
+
+
+def op7_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_toxicity": op5_toxicity,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_mixing_sources": op7_mixing_sources,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
