@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, mixing, quality, simhash, toxicity
+from granary.llm import decontaminate, mixing, quality, simhash, tokens, toxicity, warc
 from granary.llm.common import fold
 
 
@@ -60,11 +60,46 @@ def op7_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    found = tokens.token_counts(table(spark, folder, "documents"), str(path), by_word=True)
+    return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    made = warc.new_folder(spark)
+    archives = warc.write_archives(table(spark, folder, "pages"), made)
+    return warc.read_archives(archives, made, payloads=False).drop("url")
+
+
+OP10_SQL = """
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as hex from pages
+), d as (
+  select page_id, octet_length(payload) as payload_bytes, hex,
+         cast(cast(from_hex(hex) as bit) as varchar) as bits,
+         min(page_id) over (partition by payload) as first
+  from p
+)
+select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum(list_transform(range(0, 5), lambda k:
+           cast(substr(bits, cast(5 * i + k + 1 as int), 1) as int) * cast(power(2, 4 - k) as int))) as int), 1)), '')
+         as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id = first then null else first end as refers_to
+from d
+"""
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_toxicity": op5_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_mixing_sources": op7_mixing_sources,
+    "op9_token_counts": op9_token_counts,
+    "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
+SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL, "op10_warc": OP10_SQL}
