@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, mixing, quality, simhash, tokens, toxicity, warc
+from granary.llm import chat, decontaminate, mixing, quality, simhash, tokens, toxicity, warc
 from granary.llm.common import fold
 
 
@@ -93,13 +93,57 @@ from d
 """
 
 
+#: A conversation whose texts hold control strings.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(TRICKY)
+    )
+    found = chat.format_chats(rows.union(tricky))
+    turns = chat.read_turns(F.col("formatted"))
+    found = found.select(
+        "conv_id", "formatted", turns.alias("turns"),
+        chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP4_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+  select *, role is not distinct from lag(role) over (partition by conv_id order by turn, role, text) as goes_on,
+    length(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'),
+      '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '[AND]', '[\AND]')) as chars
+  from t
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars + case when goes_on then 7 else 10 + length(role) + 9 + 5 end) as bigint) as formatted_chars
+from e group by conv_id
+"""
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_toxicity": op5_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_mixing_sources": op7_mixing_sources,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL, "op10_warc": OP10_SQL}
+SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op10_warc": OP10_SQL}
