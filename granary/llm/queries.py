@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, decontaminate, mixing, quality, simhash, tokens, toxicity, warc
+from granary.llm import chat, decontaminate, embeddings, mixing, quality, simhash, tokens, toxicity, warc
 from granary.llm.common import fold
 
 
@@ -60,6 +60,27 @@ def op7_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, folder, "embeddings"))
+
+
+OP8_SQL = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.95
+), reach as (
+  select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a
+), low as (select a, least(a, min(b)) as component_id from reach group by a)
+select vec_id, (select count(*) from l where l.a = vec_id) as n_links,
+       coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from embeddings left join low on low.a = vec_id
+"""
+
+
 def op9_token_counts(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -143,7 +164,11 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_mixing_sources": op7_mixing_sources,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op10_warc": OP10_SQL}
+SQL: dict[str, str] = {
+    "op4_chat_formatting": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL,
+    "op10_warc": OP10_SQL,
+}
