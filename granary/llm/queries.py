@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, decontaminate, embeddings, mixing, quality, simhash, tokens, toxicity, warc
+from granary.llm import chat, decontaminate, embeddings, lm, mixing, quality, simhash, tokens, toxicity, warc
 from granary.llm.common import fold
 
 
@@ -13,6 +13,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "text")
+    model = lm.train(docs.where("not held_out"))
+    return lm.score(docs, model).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.fit_quality(docs, table(spark, folder, "labels"), fold("doc_id", 3) != 1)
@@ -158,6 +167,7 @@ from e group by conv_id
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_chat_formatting": op4_chat_formatting,
