@@ -70,10 +70,10 @@ def grid_points(fp: str, segments: int) -> Column:
     each = f"sequence(0, {segments - 1})"
     count = f"cast(bit_count(shiftrightunsigned({fp}, i * {width}) & {mask}) as bigint)"
     point = f"aggregate({each}, 0L, (p, i) -> p | shiftleft({count}, i * {room}))"
-    step = f"shiftleft(1L, i * {room})"
+    rest = f"(p & ~shiftleft({(1 << room) - 1}L, i * {room}))"
     moves = (
-        f"filter(array(if({count} < {width}, p + {step}, null), if({count} > 0, p - {step}, null)), "
-        "x -> x is not null)"
+        f"filter(array(if({count} < {width}, {rest} | shiftleft({count} + 1, i * {room}), null), "
+        f"if({count} > 0, {rest} | shiftleft({count} - 1, i * {room}), null)), x -> x is not null)"
     )
     return F.expr(
         f"flatten(transform(array({point}), p -> "
