@@ -17,8 +17,15 @@ DATE_LAYOUTS = {
     "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
     "yyyy-MM-dd'T'HH:mm:ssXXX": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$",
     "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
-    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
-    "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$",
+    "yyyy-MM-dd HH:mm:ss.SSSSSSSSS": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,9}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,9}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSXXX": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,9}(Z|[+-]\d{2}:\d{2})$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy H:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$",
+    "yyyyMMdd": r"^(19|20)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$",
 }
 
 # Period rules from fine to coarse, with the days one point covers.
@@ -35,7 +42,7 @@ def parse_datetime(c: Column) -> Column:
         F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(layout)).cast("timestamp_ntz"))
         for layout, shape in DATE_LAYOUTS.items()
     ]
-    return F.when(c.rlike(r"^\d{2}"), F.coalesce(*tries))
+    return F.when(c.rlike(r"^(\d|[A-Z][a-z]{2} \d)"), F.coalesce(*tries))
 
 
 def as_datetime(df: DataFrame, column: str, min_usable: int | None = None) -> Column:
@@ -45,10 +52,10 @@ def as_datetime(df: DataFrame, column: str, min_usable: int | None = None) -> Co
     if kind == DATETIME:
         return col(column).cast("timestamp_ntz")
     if kind != CATEGORICAL or isinstance(dtype, T.NullType):
-        raise ValidationError(f"Column '{column}' does not contain usable dates")
+        raise ValidationError(f"'{column}' can't be read as dates")
     parsed = parse_datetime(col(column))
     if min_usable is not None and df.agg(F.count(parsed)).first()[0] < min_usable:
-        raise ValidationError(f"Column '{column}' does not contain usable dates")
+        raise ValidationError(f"'{column}' can't be read as dates")
     return parsed
 
 

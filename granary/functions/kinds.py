@@ -69,8 +69,7 @@ def resolve(df: DataFrame, name: str, role: str = "the request") -> str:
     folded = {c.lower(): c for c in df.columns}
     found = folded.get(str(name).lower())
     if found is None:
-        known = ", ".join(df.columns[:40])
-        raise ValidationError(f"Unknown column '{name}' in {role}. Available columns: {known}")
+        raise ValidationError(f"No column '{name}' for {role}; the table has {df.columns[:40]}")
     return found
 
 
@@ -80,7 +79,7 @@ def resolve_all(df: DataFrame, names: Iterable[str], role: str) -> list[str]:
 
 def require_numeric(df: DataFrame, name: str, fn: str) -> None:
     if kinds(df)[name] != NUMERIC:
-        raise ValidationError(f"Cannot compute {fn} of '{name}': it is not numeric")
+        raise ValidationError(f"{fn} takes numbers, which '{name}' doesn't hold")
 
 
 def normalise_nulls(df: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def clean_dataset(df: DataFrame, numeric: str = "median", categorical: str = "mo
     removed = [r["column"] for r in before if r["missing"] == r["rows"]]
     frame = frame.drop(*[col(c) for c in removed]) if removed else frame
     if not frame.columns:
-        raise ValidationError("All columns in the dataset are empty.")
+        raise ValidationError("No column of the table has a value")
     with reused(frame.dropDuplicates()) as unique:
         after = missing_counts(unique).collect()
         duplicates = rows_before - after[0]["rows"]

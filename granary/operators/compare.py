@@ -42,11 +42,10 @@ class Comparison:
 def _segments(df: DataFrame, dimension: str, message_name: str) -> list:
     rows = take_bounded(
         df, MAX_SEGMENTS,
-        f"'{message_name}' has more than {MAX_SEGMENTS} groups, too many to compare. "
-        "Pick a column with fewer distinct values.",
+        f"'{message_name}' makes more than {MAX_SEGMENTS} groups to compare",
     )
     if len(rows) < 2:
-        raise ValidationError(f"'{message_name}' has fewer than two groups to compare.")
+        raise ValidationError(f"'{message_name}' makes one group or none; a comparison takes two")
     return rows
 
 
@@ -204,7 +203,7 @@ def _compare_means(df: DataFrame, dimension: str, metric: str) -> Comparison:
     rows = _segments(segment_moments(df, dimension, metric), dimension, dimension)
     used = sorted((r for r in rows if r["count"] >= 2), key=lambda r: r["group"])
     if len(used) < 2:
-        raise ValidationError("Not enough data per group to compare.")
+        raise ValidationError("Two groups of two rows or more are needed")
     groups = [r["group"] for r in used]
     within = df.where(col(dimension).isin(*groups))
     medians = medians_by_group(within, [metric], [dimension])
@@ -282,7 +281,7 @@ def _compare_tables(df: DataFrame, dimension: str, metric: str) -> Comparison:
         down[a] = down.get(a, 0) + c
         across[b] = across.get(b, 0) + c
     if len(down) < 2 or len(across) < 2:
-        raise ValidationError(f"Not enough overlap between '{dimension}' and '{metric}' to test.")
+        raise ValidationError(f"'{dimension}' and '{metric}' have rows in common for one value only")
     n = sum(down.values())
     observed = {(a, b): c for a, b, c in rows}
     dof = (len(down) - 1) * (len(across) - 1)

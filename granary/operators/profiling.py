@@ -34,7 +34,6 @@ DIMENSION_LIMIT = 15
 DASHBOARD_DIMENSION_LIMIT = 20
 FILTER_VALUES = 25
 MIN_DATED = 4
-DATE_SAMPLE = 200
 
 # Words in a column name that mark an identifier, a target or a date.
 ID_HINTS = ("id", "index", "uuid", "key", "code", "zip", "zipcode", "email", "name")
@@ -466,14 +465,9 @@ def _two_values(df: DataFrame, columns: Sequence[str]) -> dict[str, set[str]]:
     return {r["column"]: {r["low"], r["high"]} for r in ends.collect()}
 
 
-def detect_datetime_columns(
-    df: DataFrame, min_success: float = 0.8, sample: int | None = DATE_SAMPLE
-) -> list[str]:
-    """Date columns, and text that nearly always reads as a date.
-
-    ``sample`` looks at that many values per text column; None reads them all in one scan.
-    """
-    rates = date_parse_rates(df, sample)
+def detect_datetime_columns(df: DataFrame, min_success: float = 0.8) -> list[str]:
+    """Date columns, and text that nearly always reads as a date, judged on all values."""
+    rates = date_parse_rates(df)
     found = []
     for f in df.schema.fields:
         if kind_of(f.dataType) == DATETIME:
@@ -486,32 +480,15 @@ def detect_datetime_columns(
     return found
 
 
-def date_parse_rates(df: DataFrame, sample: int | None = DATE_SAMPLE) -> dict:
-    """``{text column: (values looked at, share that reads as a date)}``."""
+def date_parse_rates(df: DataFrame) -> dict:
+    """``{text column: (values, share that reads as a date)}``, in one aggregation."""
     names = columns_of(df, CATEGORICAL)
     if not names:
         return {}
-    if sample is None:
-        rates = per_column(
-            df, names,
-            {
-                "values": lambda c: F.count(col(c)),
-                "dates": lambda c: F.count(parse_datetime(col(c))),
-            },
-        )
-    else:
-        looked = [
-            df.select(F.lit(c).alias("column"), col(c).cast("string").alias("value"))
-            .where("value is not null")
-            .limit(sample)
-            for c in names
-        ]
-        long = looked[0]
-        for one in looked[1:]:
-            long = long.union(one)
-        rates = long.groupBy("column").agg(
-            F.count("value").alias("values"), F.count(parse_datetime(F.col("value"))).alias("dates")
-        )
+    rates = per_column(
+        df, names,
+        {"values": lambda c: F.count(col(c)), "dates": lambda c: F.count(parse_datetime(col(c)))},
+    )
     return {
         r["column"]: (r["values"], r["dates"] / r["values"] if r["values"] else 0.0)
         for r in rates.collect()

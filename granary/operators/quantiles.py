@@ -1,10 +1,11 @@
 """Exact quantiles, whole-table or per group, without one task holding a group.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is used
-only while the counted number of values is small. Beyond that the wanted ranks are closed in
-on by repeated scans: each scan counts the values around a bracket and sketches its inside,
-so a bracket shrinks a few hundredfold per scan and what is fetched stays a few numbers per
-group. A value repeated billions of times is recognised by its counts and never listed.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here the wanted ranks
+are closed in on by repeated scans instead: each scan counts the values around a bracket and
+sketches its inside, so a bracket shrinks a few hundredfold per scan. Once few enough values are
+inside, the executors sort them and pick the ranks, so what is fetched is a number per rank and
+group. A value repeated billions of times is recognised by its counts and never listed. Values
+that are NaN or infinite are left out, as missing ones are.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from granary.errors import ValidationError
 from granary.functions.kinds import col
 from granary.session import local_frame, take_bounded
 
-DIRECT_VALUES = 6_000_000
-LISTED_VALUES = 10_000
+#: Values of a bracket that the executors sort.
+LISTED_VALUES = 50_000
 GRID_STEPS = 400
 SKETCH_ACCURACY = 2_000
 MAX_GROUPS = 100_000
@@ -76,15 +77,14 @@ def quantiles_by_group(
     columns: Sequence[str],
     probs: Sequence[float],
     keys: Sequence[str] = (),
-    direct_values: int = DIRECT_VALUES,
     max_groups: int = MAX_GROUPS,
 ) -> dict[Key, dict[str, list[float | None]]]:
-    """``{group: {column: [quantile, ...]}}`` with linear interpolation, nulls left out."""
+    """``{group: {column: [quantile, ...]}}`` with linear interpolation, non-finite values left out."""
     if not columns:
         return {}
     data = df.select(
         *[col(k).alias(f"key{i}") for i, k in enumerate(keys)],
-        *[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)],
+        *[_finite(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)],
     )
     names = {c: f"v{i}" for i, c in enumerate(columns)}
     key_names = [f"key{i}" for i in range(len(keys))]
@@ -94,20 +94,11 @@ def quantiles_by_group(
         f"More than {max_groups} groups to take quantiles of",
     )
     sizes = {tuple(r[k] for k in key_names): {c: r[v] for c, v in names.items()} for r in groups}
-    total = sum(n for by_column in sizes.values() for n in by_column.values())
-    if total <= direct_values:
-        return _direct(data, key_names, names, probs, max_groups)
     return _by_narrowing(data, key_names, names, probs, sizes)
 
 
-def _direct(data, key_names, names, probs, max_groups):
-    wanted = [F.percentile(v, F.array(*map(F.lit, probs))).alias(v) for v in names.values()]
-    rows = data.groupBy(*key_names).agg(*wanted).take(max_groups + 1)
-    empty = [None] * len(probs)
-    return {
-        tuple(r[k] for k in key_names): {c: list(r[v] or empty) for c, v in names.items()}
-        for r in rows
-    }
+def _finite(value):
+    return F.when(F.abs(value) < F.lit(math.inf), value)
 
 
 def _by_narrowing(data, key_names, names, probs, sizes):
@@ -150,8 +141,11 @@ def _slots(ranks: list[_Rank], interval) -> dict[tuple, list[tuple[float, float]
     return slots
 
 
-def _with_bounds(data, key_names, names, slots):
-    """Attach each group's interval bounds; returns the frame and the (column, slot) pairs."""
+def _with_bounds(data, key_names, names, slots, picks=None):
+    """Attach each group's interval bounds; returns the frame and the (column, slot) pairs.
+
+    ``picks`` are the places wanted of each interval's sorted values, attached likewise.
+    """
     width = {c: max((len(s) for (_, k), s in slots.items() if k == c), default=0) for c in names}
     places = [(c, i) for c in names for i in range(width[c])]
 
@@ -160,16 +154,23 @@ def _with_bounds(data, key_names, names, slots):
         for c, i in places:
             mine = slots.get((key, c), [])
             flat.extend(mine[i] if i < len(mine) else (None, None))
+        if picks is not None:
+            flat.extend(picks.get((key, c, i), []) for c, i in places)
         return flat
 
     bound_names = [f"{e}_{names[c]}_{i}" for c, i in places for e in ("low", "high")]
+    pick_names = [f"pick_{names[c]}_{i}" for c, i in places] if picks is not None else []
     if not key_names:
-        literals = zip(bound_names, bounds(()))
-        return data.withColumns({n: F.lit(v).cast("double") for n, v in literals}), places
+        values = bounds(())
+        made = {n: F.lit(v).cast("double") for n, v in zip(bound_names, values)}
+        for n, v in zip(pick_names, values[len(bound_names) :]):
+            made[n] = F.array(*map(F.lit, v)).cast("array<bigint>")
+        return data.withColumns(made), places
     keys = {key for key, _ in slots}
     schema = T.StructType(
         [T.StructField("of_" + k, data.schema[k].dataType) for k in key_names]
         + [T.StructField(n, T.DoubleType()) for n in bound_names]
+        + [T.StructField(n, T.ArrayType(T.LongType())) for n in pick_names]
     )
     table = local_frame(data.sparkSession, [(*k, *bounds(k)) for k in keys], schema)
     match = [F.col(k).eqNullSafe(F.col("of_" + k)) for k in key_names]
@@ -208,19 +209,33 @@ def _scan_brackets(data, key_names, names, ranks):
 
 
 def _list_inside(data, key_names, names, ranks):
-    """Sort the at most LISTED_VALUES values left in each interval and read off the rank."""
+    """Sort the at most LISTED_VALUES values left in each interval and pick the ranks, on the executors."""
     slots = _slots(ranks, lambda r: (r.low, r.high))
-    joined, places = _with_bounds(data, key_names, names, slots)
-    wanted = [
-        F.sort_array(F.collect_list(_inside(names[c], i))).alias(f"list_{names[c]}_{i}")
+    picks: dict[tuple, list[int]] = {}
+    place = {}
+    for r in ranks:
+        slot = slots[r.key, r.column].index((r.low, r.high))
+        wanted = picks.setdefault((r.key, r.column, slot), [])
+        place[id(r)] = slot, len(wanted)
+        wanted.append(r.rank - r.below)
+    joined, places = _with_bounds(data, key_names, names, slots, picks)
+    asked = []
+    for c, i in places:
+        held = F.sort_array(F.collect_list(_inside(names[c], i)))
+        wanted = F.any_value(f"pick_{names[c]}_{i}")
+        asked += [held.alias(f"list_{names[c]}_{i}"), wanted.alias(f"pick_{names[c]}_{i}")]
+    lists = joined.groupBy(*key_names).agg(*asked)
+    picked = [
+        F.expr(f"transform(pick_{names[c]}_{i}, at -> get(list_{names[c]}_{i}, cast(at as int)))").alias(
+            f"{names[c]}_{i}"
+        )
         for c, i in places
     ]
-    found = joined.groupBy(*key_names).agg(*wanted).collect()
+    found = lists.select(*key_names, *picked).collect()
     by_key = {tuple(r[k] for k in key_names): r for r in found}
     for r in ranks:
-        slot = slots[r.key, r.column].index((r.low, r.high))
-        values = by_key[r.key][f"list_{names[r.column]}_{slot}"]
-        r.answer = values[r.rank - r.below]
+        slot, at = place[id(r)]
+        r.answer = by_key[r.key][f"{names[r.column]}_{slot}"][at]
 
 
 def quantiles(

@@ -18,8 +18,6 @@ from granary.operators.reshape import (
 
 from granary.sources.tables import preview
 
-SCATTER_ROWS = 2_000
-
 
 @dataclass(frozen=True)
 class Analysis:
@@ -38,7 +36,7 @@ class Analysis:
     missing_chart: DataFrame
 
 
-def analyze(df: DataFrame, target: str | None = None, scatter_rows: int | None = SCATTER_ROWS) -> Analysis:
+def analyze(df: DataFrame, target: str | None = None, scatter_rows: int | None = None) -> Analysis:
     """Profile, gaps, statistics, correlation, outliers, task, preview and chart tables."""
     table = df.select(*[col(c) for c, k in kinds(df).items() if k != OTHER])
     task = detect_problem_type(table, target)

@@ -15,9 +15,8 @@ from granary.operators.models import TUNABLE, Search, cv_score, tune
 from granary.operators.profiling import class_balance, missing_counts
 from granary.operators.query import sample_rows
 from granary.plans.advice import screen_features
-from granary.session import compact, local_frame, reused
+from granary.session import local_frame, reused
 
-EVAL_ROWS = 4_000
 EVAL_FOLDS = 3
 MAX_ROW_LOSS = 0.25
 MEANINGFUL_GAIN = 0.005
@@ -57,24 +56,28 @@ class Improvements:
     search: Search | None
 
 
+def _sampled(df: DataFrame, max_rows: int | None) -> DataFrame:
+    return df if max_rows is None else sample_rows(df, max_rows)
+
+
 def recipe_score(
     df: DataFrame, target: str, task: str, features: Sequence[str], current: Current,
-    candidates=None,
+    candidates=None, max_rows: int | None = None,
 ) -> tuple[float | None, str | None]:
-    """Best cross-validated score over a few fast models, on a seeded sample."""
+    """Best cross-validated score over a few fast models; ``max_rows`` takes a seeded sample."""
     try:
         ready, _ = prepare_features(
-            sample_rows(df, EVAL_ROWS), target, task, features,
+            _sampled(df, max_rows), target, task, features,
             numeric=current.impute_numeric, categorical=current.impute_categorical,
         )
     except (ValidationError, ProcessingError):
         return None, None
     best: tuple[float | None, str | None] = (None, None)
-    with reused(compact(ready, EVAL_ROWS)) as rows:
+    with reused(ready) as rows:
         for name, params in candidates or CANDIDATES[task]:
             try:
                 scored = cv_score(
-                    name, rows, task, EVAL_FOLDS, current.balances, max_rows=None, params=params
+                    name, rows, task, EVAL_FOLDS, current.balances, params=params
                 )
             except Exception:  # noqa: BLE001 - a model that cannot be fitted is left out
                 continue
@@ -85,9 +88,12 @@ def recipe_score(
 
 def suggest_improvements(
     df: DataFrame, target: str, task: str, current: Current = Current(), iterations: int = 12,
-    candidates=None,
+    candidates=None, max_rows: int | None = None,
 ) -> Improvements:
-    """Score each applicable recipe. One that makes things worse is reported as worse."""
+    """Score each applicable recipe. One that makes things worse is reported as worse.
+
+    ``max_rows`` scores on a seeded sample of that many rows; by default all rows count.
+    """
     target = resolve(df, target, "target")
     if task == "clustering":
         raise ValidationError("Improvements are measured against a target; clustering has none.")
@@ -106,7 +112,7 @@ def suggest_improvements(
     recipes: list[list] = []
 
     def add(key, data, columns, rows, setup=current):
-        score, winner = recipe_score(data, target, task, columns, setup, candidates)
+        score, winner = recipe_score(data, target, task, columns, setup, candidates, max_rows)
         recipes.append([key, score, winner, rows, len(columns)])
 
     def changed(**settings) -> Current:
@@ -141,7 +147,7 @@ def suggest_improvements(
 
     search = None
     if current.best_model in TUNABLE:
-        ready, _ = prepare_features(sample_rows(frame, EVAL_ROWS), target, task, features)
+        ready, _ = prepare_features(_sampled(frame, max_rows), target, task, features)
         search = tune(current.best_model, ready, task, iterations)
         if search:
             recipes.append(["tuned", search.score, current.best_model, rows_base, len(features)])

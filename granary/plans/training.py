@@ -19,7 +19,7 @@ from granary.operators.models import (
 )
 from granary.operators.profiling import class_balance, detect_problem_type
 from granary.operators.query import sample_rows
-from granary.session import compact, reused
+from granary.session import reused
 
 K_RANGE = (2, 9)
 
@@ -91,7 +91,7 @@ def _supervised(
     rows, target, task, chosen, options, models, balanced, tuning, cross_validate, facts
 ) -> Run:
     spark = rows.sparkSession
-    train_rows, test_rows = split_data(compact(rows, rows.count()), target, task)
+    train_rows, test_rows = split_data(rows, target, task)
     prep = fit_preparation(train_rows, target, task, chosen, **options)
     with reused(prep.labelled(train_rows)) as train_side, reused(prep.labelled(test_rows)) as test_side:
         facts["train_rows"], facts["test_rows"] = train_side.count(), test_side.count()
@@ -117,7 +117,7 @@ def _cluster(rows, chosen, options, k_range, eps_values, facts) -> Run:
     spark = rows.sparkSession
     prep = fit_preparation(rows, None, CLUSTERING, chosen, **options)
     facts["train_rows"] = rows.count()
-    with reused(compact(prep.labelled(rows), facts["train_rows"])) as ready:
+    with reused(prep.labelled(rows)) as ready:
         results = cluster_zoo(ready, k_range, eps_values)
         ranked = compare_models(results, CLUSTERING)
         best = ranked[0] if ranked else None
@@ -147,7 +147,7 @@ def scorer(run: Run, name: str | None = None) -> Scorer:
     wanted = name or (run.best.name if run.best else None)
     found = next((r for r in run.results if r.name == wanted and r.status == "ok"), None)
     if found is None or found.model is None:
-        raise ValidationError("This run has no successful model to predict with.")
+        raise ValidationError("No model of this run was fitted")
     return Scorer(run.preparation, found.model, found.name)
 
 
@@ -156,7 +156,7 @@ def predict(df: DataFrame, run: Run | Scorer) -> DataFrame:
     made = scorer(run) if isinstance(run, Run) else run
     prep = made.preparation
     if prep.task == CLUSTERING:
-        raise ValidationError("Clustering runs assign groups, they do not predict a target.")
+        raise ValidationError("A clustering run has no target to predict")
     scored = prep.decode(made.model.transform(prep.transform(df)))
     out = [*df.columns, "predicted"]
     if prep.task == "classification" and "probability" in scored.columns:

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -72,7 +73,13 @@ def chunks(items: Sequence, size: int) -> list[list]:
     return [list(items[i : i + size]) for i in range(0, len(items), size)]
 
 
-def compact(df: DataFrame, rows: int, per_partition: int = 50_000) -> DataFrame:
-    """Fewer, fuller partitions for a frame known to be small: iterative fits run one job per
-    step, and on a small table the number of tasks is what costs. Larger frames are unchanged."""
-    return df.coalesce(max(1, rows // per_partition)) if rows < 20 * per_partition else df
+def numbered_copies(df: DataFrame, name: str) -> DataFrame:
+    """The rows with a column that numbers equal rows 1, 2, ...; without gathering equal rows.
+
+    Equal rows are counted in each task before they are shuffled and dealt out again from their
+    count, so the numbers depend on the content only, never on the partitioning.
+    """
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+    times = f"{name}_times"
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(times))
+    return counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(name))

@@ -93,11 +93,11 @@ def validate_table(
         *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)],
     ).first()
     if counted["rows"] == 0:
-        raise ValidationError("The dataset has a header but no data rows.")
+        raise ValidationError("No rows in the table")
     if max_rows is not None and counted["rows"] > max_rows:
-        raise ValidationError(f"Dataset has {counted['rows']} rows; the limit is {max_rows}.")
+        raise ValidationError(f"{counted['rows']} rows, but {max_rows} at most are taken")
     if not any(counted[1:]):
-        raise ValidationError("All columns in the dataset are empty.")
+        raise ValidationError("No column of the table has a value")
     return df
 
 

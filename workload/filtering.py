@@ -352,7 +352,7 @@ def _(t):
 def _(t):
     return rounded(
         quantile_table(
-            t.lineitem, ["l_extendedprice"], [0.05, 0.5, 0.95], ["l_linestatus"], direct_values=0
+            t.lineitem, ["l_extendedprice"], [0.05, 0.5, 0.95], ["l_linestatus"]
         )
     )
 

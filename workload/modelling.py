@@ -241,7 +241,7 @@ def _(t):
 @query("cross_validated_score")
 def _(t):
     ready, _ = features.prepare_features(t.part, "p_retailprice", "regression")
-    found = models.cv_score("ridge", ready, "regression", max_rows=None)
+    found = models.cv_score("ridge", ready, "regression")
     return local_frame(t.spark, [found], "mean double, std double")
 
 

@@ -299,8 +299,8 @@ DATES_AS_TEXT = (
 )
 def _(t):
     df = t.orders.selectExpr(*DATES_AS_TEXT)
-    rates = profiling.date_parse_rates(df, sample=None)
-    found = profiling.detect_datetime_columns(df, sample=None)
+    rates = profiling.date_parse_rates(df)
+    found = profiling.detect_datetime_columns(df)
     assert found == ["order_date", "us_day"], found
     rows = [(c, n, round(n * rate)) for c, (n, rate) in rates.items()]
     return local_frame(t.spark, rows, "column string, values long, dates long")
