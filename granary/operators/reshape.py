@@ -111,7 +111,7 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     return joined.select("bin", "low", "high", F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def chart_columns(df: DataFrame, limit: int = CHART_COLUMNS) -> list[str]:
+def chart_columns(df: DataFrame, limit: int | None = CHART_COLUMNS) -> list[str]:
     names = numeric_columns(df)
     distinct = distinct_capped(df, names, 2)
     return [c for c in names if distinct[c] > 2][:limit]
@@ -155,7 +155,7 @@ def scatter_pairs(df: DataFrame, target: str | None) -> list[tuple[str, str, flo
     """The pairs to plot: two columns closest to a numeric target, else the best pair."""
     names = numeric_columns(df)
     if target is not None and target in names and distinct_capped(df, [target], 5)[target] > 5:
-        others = [c for c in chart_columns(df, 8) if c != target]
+        others = [c for c in chart_columns(df, None) if c != target]
         if not others:
             return []
         wanted = df.agg(

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.errors import ValidationError
 from granary.functions.kinds import NUMERIC, OTHER, col, kinds
 from granary.operators.compare import one_way_anova, skewness
 from granary.operators.counts import distinct_capped, value_table
@@ -30,7 +31,6 @@ SKEW_LIMIT = 1.5
 SKEW_ROWS = 10
 GROUP_ROWS = 8
 ETA_FLOOR = 0.02
-MAX_TESTS = 12
 ALPHA = 0.05
 
 FINDING = T.StructType(
@@ -81,7 +81,7 @@ def _quality(t: _Table) -> list[tuple]:
         )
     constant = [c for c, n in t.distinct.items() if n <= 1]
     if constant:
-        found.append(_finding("data_quality", 40, constant[:6], constant_columns=len(constant)))
+        found.append(_finding("data_quality", 40, constant, constant_columns=len(constant)))
     for r in detect_outliers(t.df).collect():
         pct = 100.0 * r["outliers"] / max(t.rows, 1)
         if pct >= OUTLIER_PCT:
@@ -126,13 +126,9 @@ def _dominance(t: _Table) -> list[tuple]:
 
 def _segments(t: _Table) -> list[tuple]:
     """One aggregation per dimension covers all measures."""
-    found, tests = [], 0
-    measures = t.measures[:5]
-    if not measures:
-        return found
-    for d in t.dimensions[:5]:
-        if tests >= MAX_TESTS:
-            break
+    found = []
+    measures = t.measures
+    for d in t.dimensions if measures else []:
         wanted = []
         for i, m in enumerate(measures):
             x = col(m).cast("double")
@@ -141,8 +137,6 @@ def _segments(t: _Table) -> list[tuple]:
             ]
         groups = t.df.where(col(d).isNotNull()).groupBy(col(d).alias("group")).agg(*wanted).collect()
         for i, m in enumerate(measures):
-            if tests >= MAX_TESTS:
-                break
             shown = [g for g in groups if g[f"n{i}"]]
             large = [
                 {"count": g[f"n{i}"], "mean": g[f"m{i}"], "variance": g[f"v{i}"]}
@@ -151,7 +145,6 @@ def _segments(t: _Table) -> list[tuple]:
             ]
             if len(large) < 2:
                 continue
-            tests += 1
             outcome = one_way_anova(large)
             p, eta = outcome["p_value"], outcome["eta_squared"]
             if not math.isfinite(p) or p > ALPHA or eta < ETA_FLOOR:
@@ -171,7 +164,7 @@ def _segments(t: _Table) -> list[tuple]:
 def _trends(t: _Table) -> list[tuple]:
     dates = detect_datetime_columns(t.df)
     found = []
-    for m in t.measures[:3] if dates else []:
+    for m in t.measures if dates else []:
         try:
             series = time_series(t.df, dates[0], m, "mean")
         except ValueError:
@@ -186,7 +179,7 @@ def _trends(t: _Table) -> list[tuple]:
                     r_squared=r2, p_value=fit.p_value, total_change_pct=change,
                 )
             )
-        for r in series.anomalies.orderBy("period").limit(2).collect():
+        for r in series.anomalies.orderBy("period").collect():
             found.append(
                 _finding(
                     "anomaly", min(20 * abs(r["z_score"]), 90), [dates[0], m], period=r["period"],
@@ -231,8 +224,18 @@ class Insights:
     skipped: list[str]
 
 
-def generate_insights(df: DataFrame, limit: int = 12) -> Insights:
-    """Everything noteworthy, most important first. A scanner that fails is skipped."""
+def generate_insights(
+    df: DataFrame, limit: int = 12, scanners: Sequence[str] | None = None
+) -> Insights:
+    """Everything noteworthy, most important first. A scanner that fails is skipped.
+
+    All columns are scanned; ``limit`` caps the ranked result only. ``scanners`` picks some of
+    quality, correlation, dominance, segments, trends and skew.
+    """
+    named = {scan.__name__.strip("_"): scan for scan in SCANNERS}
+    unknown = [s for s in scanners or () if s not in named]
+    if unknown:
+        raise ValidationError(f"No scanners {unknown}; there are {list(named)}")
     names = [c for c, k in kinds(df).items() if k != OTHER]
     table = df.select(*[col(c) for c in names])
     gaps = missing_counts(table).collect()
@@ -243,11 +246,11 @@ def generate_insights(df: DataFrame, limit: int = 12) -> Insights:
         distinct_capped(table, names, DIMENSION_LIMIT),
     )
     found, skipped = [], []
-    for scan in SCANNERS:
+    for name in scanners or named:
         try:
-            found += scan(described)
+            found += named[name](described)
         except Exception:  # noqa: BLE001 - one failing scanner must not cost the others
-            skipped.append(scan.__name__.strip("_"))
+            skipped.append(name)
     ranked = sorted(found, key=lambda f: (-f[1], f[0], f[2]))
     spark = df.sparkSession
     by_kind = local_frame(spark, found, FINDING).groupBy("kind").count()

@@ -9,7 +9,7 @@ from workload.registry import GAPS, dates_as_text, query, rounded
 
 @query("insights_of_events")
 def _(t):
-    return insights.generate_insights(t.events.drop("event_id")).findings
+    return insights.generate_insights(t.events).findings
 
 
 @query("insights_counted_by_kind")
@@ -28,8 +28,7 @@ def _(t):
     """,
 )
 def _(t):
-    df = t.gaps().select("l_orderkey", "l_linenumber", "flag", "quantity", "price")
-    found = insights.generate_insights(df, 100).findings
+    found = insights.generate_insights(t.gaps(), 100, ["quality"]).findings
     gaps = found.where("kind = 'data_quality' and evidence['missing'] is not null")
     return gaps.select(F.col("columns")[0].alias("column"), "importance")
 
@@ -44,7 +43,7 @@ def _(t):
     """,
 )
 def _(t):
-    found = insights.generate_insights(t.events, 100).findings.where("kind = 'skew'")
+    found = insights.generate_insights(t.events, 100, ["skew"]).findings.where("kind = 'skew'")
     return found.select(F.col("columns")[0].alias("column"), "importance")
 
 
