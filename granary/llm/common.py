@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Entries of a task's word cache; it is emptied when full, so memory stays bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Tokens that a task handles at once.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 200_000
 
 _own_folders: dict[str, str] = {}
 

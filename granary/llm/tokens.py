@@ -17,12 +17,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import CACHE_WORDS, stored, utf8, work_path
+from granary.llm.common import stored, utf8, work_path
 
 #: The largest tokenizer file that is sent to the tasks.
 MOST_BYTES = 64 << 20
 #: Texts, or words, that are encoded at once.
 BATCH = 2_000
+#: Words whose counts a task remembers; all are dropped when there are more.
+KNOWN_WORDS = 400_000
 
 
 class TokenCounter:
@@ -59,7 +61,7 @@ class TokenCounter:
         known = self.known
         new = [w for w in set(words) if w not in known]
         if new:
-            if len(known) > CACHE_WORDS:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
                 new = list(set(words))
             for i in range(0, len(new), BATCH):
