@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import CACHE_WORDS, blocks
+from granary.llm.common import CACHE_WORDS, blocks, mixed
 from granary.llm.labelled import labelled_texts
 
 WINDOW, STRIDE = 16, 8
@@ -46,21 +46,38 @@ def cut_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _word_place(word: str) -> int:
-    return crc32(word.encode(), 1) & _MASK
+def _word_places(words: list[str]) -> np.ndarray:
+    return np.fromiter((crc32(w.encode(), 1) & _MASK for w in words), np.int64, len(words))
 
 
-def _piece_places(word: str) -> list[list[int]]:
-    """Places of the pieces of the word between its ends, by length, and of its beginnings.
+def _piece_places(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of the words' pieces and the word of each: by length, then the beginnings.
 
-    A word shorter than a piece is one piece.
+    Pieces run over the word between its end marks; a word shorter than a piece has none.
     """
-    marked = b"<" + word.encode() + b">"
-    held = [
-        [crc32(marked[i : i + n], n) & _MASK for i in range(max(1, len(marked) - n + 1))]
-        for n in PIECES
-    ]
-    return [*held, [crc32(marked[: n + 1], 99) & _MASK for n in BEGINNINGS if n < len(marked)] or [0]]
+    marked = [b"<" + w.encode() + b">" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), size)
+    start = np.cumsum(size) - size
+    left = size[owner] - (np.arange(len(data)) - start[owner])
+    shift, factor = np.uint64(64 - TABLE_BITS), np.uint64(0x100000001B3)
+    out = []
+    for n in PIECES:
+        key = np.full(max(0, len(data) - n + 1), n, np.uint64)
+        for k in range(n):
+            key = key * factor + data[k : k + len(key)]
+        inside = left[: len(key)] >= n
+        out.append(((mixed(key[inside]) >> shift).astype(np.int64), owner[: len(key)][inside]))
+    key = np.full(len(words), 99, np.uint64)
+    places, of = [], []
+    for n in range(max(BEGINNINGS) + 1):
+        longer = np.flatnonzero(size > n)
+        key[longer] = key[longer] * factor + data[start[longer] + n]
+        if n in BEGINNINGS:
+            places.append((mixed(key[longer]) >> shift).astype(np.int64))
+            of.append(longer)
+    return [*out, (np.concatenate(places), np.concatenate(of))]
 
 
 class _Inputs(dict):
@@ -73,23 +90,28 @@ class _Inputs(dict):
 
     def clear(self) -> None:
         super().clear()
-        self.rows = np.zeros((1 << 12, INPUTS), np.float32)
-        self.used = 1  # row 0 is the padding
-
-    def __missing__(self, word: str) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        held = [self.pieces[p] for p in _piece_places(word)]
-        total = sum(float(h.sum()) for h in held)
-        self.rows[self.used] = (
-            self.words[_word_place(word)], *(h.max() for h in held),
-            total / sum(map(len, held)), 1.0,
-        )
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
+        self.rows = np.zeros((1, INPUTS), np.float32)  # row 0 is the padding
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        if not new:
+            return
+        rows = np.ones((len(new), INPUTS), np.float32)
+        rows[:, 0] = self.words[_word_places(new)]
+        total, count = np.zeros(len(new)), np.zeros(len(new), np.int64)
+        for k, (places, owner) in enumerate(_piece_places(new), 1):
+            evidence = self.pieces[places]
+            best = np.full(len(new), -np.inf, np.float32)
+            np.maximum.at(best, owner, evidence)
+            rows[:, k] = np.where(np.isfinite(best), best, 0)
+            total += np.bincount(owner, evidence, len(new))
+            count += np.bincount(owner, minlength=len(new))
+        rows[:, INPUTS - 2] = total / np.maximum(count, 1)
+        self.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.rows = np.concatenate([self.rows, rows])
 
     def of(self, words: list[str]) -> np.ndarray:
+        """Rows of words that were learnt."""
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
@@ -250,9 +272,10 @@ def _training_rows(cut: list[list[str]], labels: np.ndarray, folds: int):
 
     So the network meets evidence that is as reliable as it will be on new texts.
     """
+    own = [sorted(set(t)) for t in cut]
     each = [
-        [np.unique([_word_place(w) for w in set(t)]).astype(np.int64) for t in cut],
-        [np.unique([p for w in set(t) for h in _piece_places(w) for p in h]).astype(np.int64) for t in cut],
+        [np.unique(_word_places(w)) for w in own],
+        [np.unique(np.concatenate([p for p, _ in _piece_places(w)])) for w in own],
     ]
     fold = np.random.default_rng(7).integers(0, folds, len(cut))
     totals = np.bincount(labels, minlength=2).astype(np.float64)
@@ -266,10 +289,11 @@ def _training_rows(cut: list[list[str]], labels: np.ndarray, folds: int):
             for all_, places in zip(whole, each)
         ]
         inputs = _Inputs(*tables)
+        inputs.learn({w for i in inside for w in own[i]})
         for i in inside:
             codes[i] = inputs.of(cut[i]) + used
-        rows.append(inputs.rows[: inputs.used])
-        used += inputs.used
+        rows.append(inputs.rows)
+        used += len(inputs.rows)
     tables = [_evidence(counts, totals) for counts in whole]
     return tables, np.concatenate(rows), codes
 
@@ -314,7 +338,7 @@ def fit_network(
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", key: str = "doc_id",
-    text: str = "text", per_class: int = 2_000, max_chars: int = 20_000_000,
+    text: str = "text", per_class: int = 1_500, max_chars: int = 12_000_000,
 ) -> ToxicityModel:
     """Fit on at most ``per_class`` labelled rows of each class and ``max_chars`` characters.
 
@@ -331,12 +355,13 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
         inputs = _Inputs(model.words, model.pieces)
         for texts in batches:
             out = []
-            for held, lengths in blocks(texts, lambda t: cut_words(t.as_py() or ""), 250_000):
+            for held, lengths in blocks(texts, lambda t: cut_words(t.as_py() or "")):
                 if len(inputs) > CACHE_WORDS:
                     inputs.clear()
+                inputs.learn(set().union(*held))
                 codes = np.concatenate([inputs.of(words) for words in held])
                 windows, owner = window_table(codes, lengths)
-                logits = window_logits(inputs.rows[: inputs.used], windows, model.net)
+                logits = window_logits(inputs.rows, windows, model.net)
                 best = np.full(len(lengths), -np.inf)
                 np.maximum.at(best, owner, logits)
                 logit = np.clip(model.scale * best + model.shift, -30, 30)
