@@ -88,7 +88,7 @@ def fit_ftrl(
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality",
-    key: str = "doc_id", text: str = "text", per_class: int = 3_000, max_chars: int = 40_000_000,
+    key: str = "doc_id", text: str = "text", per_class: int = 2_000, max_chars: int = 16_000_000,
 ) -> QualityModel:
     """Fit on at most ``per_class`` labelled rows of each class and ``max_chars`` characters.
 
