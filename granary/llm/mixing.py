@@ -9,6 +9,7 @@ sources that fell short, so totals meet the targets. Blocks are joined by source
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from granary.session import local_frame
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 LENGTH, SLOTS = 128, 1_024
-#: Documents of a source in one run of its order, and shards in one run of the numbering.
-RUN_DOCS, RUN_SHARDS = 20_000, 4_096
+#: Shards in one run of the numbering.
+RUN_SHARDS = 4_096
 
 
 def word_count(text: Column) -> Column:
@@ -67,14 +68,14 @@ def targets(
 def laid_out(docs: DataFrame, key: str, source: str, text: str, carry: bool = False) -> DataFrame:
     """``(id, source, size, start)``: where each document begins in its source's row of words.
 
-    The order is by hash, in runs of bounded size: starts within a run, then starts of the runs,
-    so a source with a third of all rows is no single task's work. ``carry`` keeps the text.
+    The order is by hash, in as many runs as a run has documents: starts within a run, then starts
+    of the runs, so a source with a third of all rows is no single task's work. ``carry`` keeps the text.
     """
     rows = docs.select(
         F.col(key).alias("id"), F.col(source).cast("string").alias("source"),
         word_count(F.col(text)).alias("size"), *([F.col(text).alias("text")] if carry else []),
     )
-    runs = max(1, docs.count() // RUN_DOCS)
+    runs = max(1, math.isqrt(docs.count()))
     place = F.xxhash64(F.col("id").cast("string"))
     rows = rows.withColumn("place", place).withColumn("run", F.pmod("place", F.lit(runs)))
     if not carry:
