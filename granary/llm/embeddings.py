@@ -5,8 +5,8 @@ of a vector is cut into subspaces and each part coded by its nearest codeword. A
 list that can hold a partner: a partner lies within the radius that the cosine implies, so it can
 be in another list only if the plane half way between the two centroids is no farther than that.
 The step to a partner has no reason to point straight at that plane: in d dimensions its part in
-one direction is about 1/sqrt(d) of it, so planes within four times that are asked (all within the
-radius up to 16 dimensions), which loses less than one pair in ten thousand.
+one direction is about 1/sqrt(d) of it, so planes within three times that are asked (all within
+the radius up to 9 dimensions), which loses about one in a thousand of the pairs that lie apart.
 Coded members are compared by distances looked up per subspace; the error of each code is stored
 with it and added to the radius, so no partner is lost to quantisation. What passes is decided by
 the exact cosine in double precision. Centroids and codewords are fitted on a sample, every vector
@@ -88,7 +88,7 @@ def fit_index(sample: np.ndarray, rows: int, cosine: float) -> Index:
     rest = (units - centroids[_nearest(units, centroids)]).reshape(len(units), SUBSPACES, -1)
     words = [_means(np.ascontiguousarray(rest[:, s]), WORDS, 6, s + 2) for s in range(SUBSPACES)]
     radius = math.sqrt(2 - 2 * cosine) + 1e-5
-    return Index(centroids, np.stack(words), radius, radius * min(1, 4 / math.sqrt(sample.shape[1])))
+    return Index(centroids, np.stack(words), radius, radius * min(1, 3 / math.sqrt(sample.shape[1])))
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -124,16 +124,17 @@ def linked(asking: np.ndarray, members: np.ndarray, code: np.ndarray, error: np.
     left, right = [], []
     for i in range(0, len(asking), _STEP):
         part = rest[i : i + _STEP]
-        distance = np.zeros((len(part), len(members)), np.float32)
+        # members by askers: a looked-up row is one copy of memory
+        distance = np.zeros((len(members), len(part)), np.float32)
         for s in range(SUBSPACES):
-            gap = part[:, s, None] - index.codewords[s]
-            distance += (gap * gap).sum(axis=2)[:, code[:, s]]
-        near = distance <= reach
-        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            gap = index.codewords[s][:, None] - part[None, :, s]
+            distance += np.einsum("wqd,wqd->wq", gap, gap)[code[:, s]]
+        near = distance <= reach[:, None]
+        columns, rows = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
         if not len(rows):
             continue
         exact = asking[i + rows] @ members[columns].T >= cosine
-        a, b = np.nonzero(exact & near[np.ix_(rows, columns)])
+        a, b = np.nonzero(exact & near[np.ix_(columns, rows)].T)
         left.append((i + rows[a]).astype(np.int32))
         right.append(columns[b].astype(np.int32))
     none = np.zeros(0, np.int32)
