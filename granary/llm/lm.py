@@ -28,16 +28,16 @@ from granary.llm.mixing import word_count
 
 #: The token at the end of each text, and the history before its first word; no word has a space.
 END, START = b" end", b" start"
-#: Probes of a level, and bits for each entry: about one false answer in a hundred.
-PROBES, BITS = 6, 9.6
+#: Probes of a level, and bits for each entry: about two false answers in a hundred.
+PROBES, BITS = 5, 8.0
 #: N-grams, repeats included, that one shard is made from.
-SHARD_TOKENS = 12_000_000
+SHARD_TOKENS = 3_000_000
 #: A filter up to this size is broadcast.
 BROADCAST_BYTES = 160 << 20
 #: Words whose exact counts every task holds; the rest are joined.
 HEAD_WORDS = 1_000_000
 #: N-grams that a task counts before it passes partial counts on.
-COUNT_TOKENS = 2_500_000
+COUNT_TOKENS = 1_800_000
 _BASE = 1.15
 
 
@@ -130,11 +130,10 @@ class Filter:
     size: np.ndarray
 
     @staticmethod
-    def of(shards: dict[int, bytes], count: int) -> Filter:
-        held = [shards.get(i, bytes(8)) for i in range(count)]
-        size = np.array([len(b) for b in held], np.int64)
-        bits = np.frombuffer(b"".join(held), np.uint8)
-        return Filter(bits, np.cumsum(size) - size, size.astype(np.uint64) * np.uint64(8))
+    def of(bits: bytes, size: np.ndarray) -> Filter:
+        """From the shards' bytes end to end, which are not copied, and the bytes of each."""
+        begin = np.cumsum(size) - size
+        return Filter(np.frombuffer(bits, np.uint8), begin, size.astype(np.uint64) * np.uint64(8))
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts read back: repeated membership probes, level by level, until one is missing."""
@@ -187,7 +186,11 @@ def _partials(order: int, shards: int) -> Callable:
                 keys = np.concatenate([h[0][n] for h in held])
                 past = np.concatenate([h[1][n - 1] for h in held]) if n else keys
                 keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-                for p, own, before, number in _by_shard(keys, shards, past[first], counts.astype(np.uint32)):
+                past = past[first]
+                if n:  # equal histories side by side are compressed away
+                    order_of = np.argsort(past, kind="stable")
+                    keys, past, counts = keys[order_of], past[order_of], counts[order_of]
+                for p, own, before, number in _by_shard(keys, shards, past, counts.astype(np.uint32)):
                     rows.append((p, n + 1, own.tobytes(), before.tobytes() if n else b"", number.tobytes()))
             return _packed(rows, ["shard", "n", "keys", "past", "a"])
 
@@ -198,7 +201,8 @@ def _partials(order: int, shards: int) -> Callable:
                 size += len(words)
                 if size >= COUNT_TOKENS:
                     yield packed()
-                    held, size = [], 0
+                    held.clear()
+                    size = 0
         if held:
             yield packed()
 
@@ -359,6 +363,20 @@ def _struct(rows: list[tuple]) -> pa.StructArray:
     return pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(offsets, flat)], names)
 
 
+def _end_to_end(model: LanguageModel) -> dict[int, tuple[bytes, np.ndarray]]:
+    """For each kind its shards' bytes in order, and how many each has; a missing shard has 8 of zero."""
+    table = model.filter.toArrow()
+    cells = {
+        (kind, shard): bits.as_buffer()
+        for kind, shard, bits in zip(table["kind"].to_pylist(), table["shard"].to_pylist(), table["bits"])
+    }
+    out = {}
+    for kind in (_GRAM, _PAST):
+        own = [cells.get((kind, shard), bytes(8)) for shard in range(model.shards)]
+        out[kind] = b"".join(own), np.array([len(b) for b in own], np.int64)
+    return out
+
+
 def score(
     docs: DataFrame, model: LanguageModel, text: str = "text", head_words: int = HEAD_WORDS,
     broadcast_bytes: int = BROADCAST_BYTES,
@@ -381,15 +399,12 @@ def score(
     whole = F.coalesce(F.col(text), F.lit(""))
 
     if model.filter_bytes <= broadcast_bytes:
-        held = {_GRAM: {}, _PAST: {}}
-        for row in model.filter.toArrow().to_pylist():
-            held[row["kind"]][row["shard"]] = row["bits"]
-        sent = context.broadcast({k: Filter.of(v, model.shards) for k, v in held.items()})
-        del held
+        # plain bytes: a task reads them once and keeps no second copy
+        sent = context.broadcast(_end_to_end(model))
 
         @F.arrow_udf(_SCORED)
         def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            filters, hashes = sent.value, WordHashes(1)
+            filters, hashes = {k: Filter.of(*v) for k, v in sent.value.items()}, WordHashes(1)
             for texts in batches:
                 rows = []
                 for cut, lengths in blocks(utf8(texts), lambda t: [*lowered(t), END]):
@@ -449,7 +464,7 @@ def _scored_by_shard(docs: DataFrame, model: LanguageModel, text: str, head) ->
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         bits = right["bits"][0].as_py() if len(right) else bytes(8)
-        held = Filter.of({0: bits}, 1)
+        held = Filter.of(bits, np.array([len(bits)]))
         rows = [
             (row, kind, keys, held.counts(np.frombuffer(keys, np.uint64)).tobytes())
             for row, kind, keys in zip(*(left[c].to_pylist() for c in ("row", "kind", "keys")))
