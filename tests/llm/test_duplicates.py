@@ -115,3 +115,34 @@ def test_similar_documents_of_odd_rows(odd_docs, no_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 6, 7, 8] and ids.count(None) == 2
     assert similar.one_of_each(no_docs, similar.similar_documents(no_docs)).count() == 0
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_documents_hold_the_threshold_on_both_sides(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(0, 10**6)}"
+    rows, below, above = [], 0, 0
+    for pair in range(300):
+        if pair % 3 == 0:  # 4 of 5 shingles
+            one = [word() for _ in range(8)]
+            two = [*one, word()]
+        else:  # a tail of other words: Jaccard similarities of about 0.65 to 0.95
+            one = [word() for _ in range(104)]
+            cut = int(rng.integers(3, 22))
+            two = one[:-cut] + [word() for _ in range(cut)]
+        rows += [(2 * pair, " ".join(one)), (2 * pair + 1, " ".join(two))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(docs).collect()}
+    missed = 0
+    for (a, one), (b, two) in zip(rows[::2], rows[1::2]):
+        if jaccard(one, two) < 0.8:
+            below += 1
+            assert found[b] == b
+        else:
+            above += 1
+            missed += found[b] != a
+    assert below > 50 and above > 150 and missed <= 0.02 * above
