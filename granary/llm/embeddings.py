@@ -4,9 +4,7 @@ Vectors of length one are filed in coarse inverted lists under their nearest cen
 of a vector is cut into subspaces and each part coded by its nearest codeword. A vector asks every
 list that can hold a partner: a partner lies within the radius that the cosine implies, so it can
 be in another list only if the plane half way between the two centroids is no farther than that.
-The step to a partner has no reason to point straight at that plane: in d dimensions its part in
-one direction is about 1/sqrt(d) of it, so planes within three times that are asked (all within
-the radius up to 9 dimensions), which loses about one in a thousand of the pairs that lie apart.
+All such lists are asked, so no partner is lost, whatever directions the vectors take.
 Coded members are compared by distances looked up per subspace; the error of each code is stored
 with it and added to the radius, so no partner is lost to quantisation. What passes is decided by
 the exact cosine in double precision. Centroids and codewords are fitted on a sample, every vector
@@ -43,8 +41,6 @@ class Index:
     #: (subspaces, words, dimensions of a subspace)
     codewords: np.ndarray
     radius: float
-    #: How near the plane between two lists must be for the other one to be asked.
-    margin: float
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -88,7 +84,7 @@ def fit_index(sample: np.ndarray, rows: int, cosine: float) -> Index:
     rest = (units - centroids[_nearest(units, centroids)]).reshape(len(units), SUBSPACES, -1)
     words = [_means(np.ascontiguousarray(rest[:, s]), WORDS, 6, s + 2) for s in range(SUBSPACES)]
     radius = math.sqrt(2 - 2 * cosine) + 1e-5
-    return Index(centroids, np.stack(words), radius, radius * min(1, 3 / math.sqrt(sample.shape[1])))
+    return Index(centroids, np.stack(words), radius)
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -112,7 +108,7 @@ def encoded(units: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np
         from_all = squares - 2 * part @ c.T
         apart = np.sqrt(np.maximum(squares[at][:, None] + squares - 2 * c[at] @ c.T, 1e-18))
         beyond = from_all - from_all[np.arange(len(part)), at][:, None]
-        asks += [np.flatnonzero(row) for row in beyond <= 2 * index.margin * apart + 1e-6]
+        asks += [np.flatnonzero(row) for row in beyond <= 2 * index.radius * apart + 1e-6]
     return own, code.astype(np.uint8), error.astype(np.float32), asks
 
 

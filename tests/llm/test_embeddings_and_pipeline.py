@@ -83,6 +83,23 @@ def test_recall_of_probes():
         assert len(a) == 1
 
 
+@pytest.mark.parametrize("dims, inner", [(64, 8), (256, 8)])
+def test_probes_of_vectors_in_few_dimensions(dims, inner):
+    rng = np.random.default_rng(12)
+    plane = np.linalg.qr(rng.normal(size=(dims, inner)))[0].T
+    base = rng.normal(size=(4_000, inner))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    step = rng.normal(size=base.shape)
+    step -= (step * base).sum(axis=1, keepdims=True) * base
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    partner = (base * 0.951 + step * math.sqrt(1 - 0.951**2)) @ plane
+    base = base @ plane
+    index = embeddings.fit_index(base[:2_000], 40_000, 0.95)
+    asks = embeddings.encoded(base, index)[3]
+    lists = embeddings.encoded(partner, index)[0]
+    assert all(lists[i] in asks[i] for i in range(len(base)))
+
+
 def test_pipeline_of_odd_rows(spark, odd_docs, no_docs, labels, tmp_path):
     folder = str(tmp_path)
     odd_docs.write.parquet(f"{folder}/documents.parquet")
