@@ -116,3 +116,28 @@ def test_windows_cover_every_word(size):
     windows, owner = toxicity.window_table(codes, np.array([size]))
     assert set(windows.ravel()) - {0} == set(codes.tolist())
     assert (owner == 0).all() and len(windows) == 1 + max(0, -(-(size - 16) // 8))
+
+
+def test_sample_passes_over_huge_texts(spark):
+    rows = [(i, "huge " * 100_000 if i % 4 == 0 else f"text {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    texts, marks = labelled_texts(docs, labels, "toxic", F.lit(True), 50, 400_000)
+    assert sorted(texts) == sorted(t for _, t in rows if len(t) < 100) and marks.sum() == 20
+    texts, marks = labelled_texts(docs, labels, "toxic", F.lit(True), 50, 10**9)
+    assert len(texts) == 40
+
+
+def test_a_class_of_long_texts_only_has_its_share(spark):
+    rows = [(i, "long " * 30_000 if i % 2 else "short " * 1_000) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    texts, marks = labelled_texts(docs, labels, "toxic", F.lit(True), 20, 600_000)
+    assert sum(map(len, texts)) <= 600_000 and marks.sum() == 2 and (marks == 0).sum() == 20
+
+
+def test_sample_is_picked_from_the_rows_there_are(taught):
+    docs, labels = taught
+    kept = docs.where("doc_id % 3 = 0")
+    texts, marks = labelled_texts(kept, labels, "toxic", F.lit(True), 20, 10**9)
+    assert len(texts) == 40 and marks.sum() == 20
