@@ -132,7 +132,7 @@ def _(t):
 
 @query("dashboard_tables")
 def _(t):
-    made = dashboard.build_dashboard(t.events.drop("user_id"))
+    made = dashboard.build_dashboard(t.events)
     parts = {
         "kpis": made.kpis, "bars": made.bars, "share": made.share, "options": made.options,
         "distribution": made.distribution, "timeline": made.timeline and made.timeline.line,
@@ -148,8 +148,7 @@ def _(t):
 
 @query("feature_advice_measured")
 def _(t):
-    df = t.part.drop("p_name")
-    found = advice.suggest_features(df, "p_retailprice", "regression")
+    found = advice.suggest_features(t.part, "p_retailprice", "regression")
     row = (len(found.all_usable), len(found.recommended), found.score_all, found.score_recommended)
     schema = "usable int, recommended int, score_all double, score_recommended double"
     return local_frame(t.spark, [row], schema)

@@ -248,7 +248,7 @@ def _(t):
 @query("random_search")
 def _(t):
     ready, _ = features.prepare_features(t.part, "p_retailprice", "regression", ["p_size", "p_type"])
-    return models.tune("decision_tree", ready, "regression", iterations=4).tried
+    return models.tune("decision_tree", ready, "regression").tried
 
 
 @query("scored_classes")
