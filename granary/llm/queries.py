@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, decontaminate, embeddings, lm, mixing, quality, simhash, tokens, toxicity, warc
+from granary.llm import (
+    chat, decontaminate, embeddings, exact, lm, mixing, quality, search, simhash, tokens, toxicity, warc,
+)
 from granary.llm.common import fold
 
 
@@ -166,6 +168,55 @@ from e group by conv_id
 """
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP12_SQL = r"""
+with cut as (
+  select 'd' as side, row_number() over () as nr, doc_id as id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+  union all
+  select 'i', row_number() over (), item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')
+  from benchmark
+), d as (select nr, id, cast(len(w) as bigint) as n, w from cut where side = 'd' and len(w) > 0),
+all_docs as (select count(*) as big_n, cast(sum(n) as bigint) as l from d),
+tf as (select nr, t, count(*) as tf from (select nr, unnest(w) as t from d) group by nr, t),
+df as (select t, count(*) as df from tf group by t),
+it as (select nr, id, t, count(*) as times from (select nr, id, unnest(w) as t from cut where side = 'i') group by nr, id, t),
+weighed as (
+  select it.nr as item, it.id as item_id, it.t, times,
+    cast(floor(1000 * ln(cast(2 * big_n + 2 as double) / cast(2 * df + 1 as double))) as bigint) as weight
+  from it join df on it.t = df.t, all_docs
+), scored as (
+  select item, item_id, d.nr, d.id as doc_id,
+    sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // l)))) as score
+  from weighed join tf on tf.t = weighed.t join d on d.nr = tf.nr, all_docs group by item, item_id, d.nr, d.id
+), ranked as (
+  select *, row_number() over (partition by item order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, cast(rank as int) as rank, doc_id, cast(score as bigint) as score from ranked where rank <= 20
+"""
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+with t as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as same from documents
+)
+select doc_id, min(doc_id) over (partition by same) as keep_id, count(*) over (partition by same) as group_size,
+  row_number() over (partition by same order by doc_id) = 1 as kept, sha256(same) as text_sha256
+from t
+"""
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -177,8 +228,10 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 SQL: dict[str, str] = {
     "op4_chat_formatting": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL,
-    "op10_warc": OP10_SQL,
+    "op10_warc": OP10_SQL, "op12_ranked_search": OP12_SQL, "op13_exact_dedup": OP13_SQL,
 }
