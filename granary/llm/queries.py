@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import (
-    chat, decontaminate, embeddings, exact, lm, mixing, quality, search, simhash, tokens, toxicity, warc,
+    chat, decontaminate, embeddings, exact, lm, mixing, quality, search, simhash, tokens, toxicity, trie,
+    warc,
 )
 from granary.llm.common import fold
 
@@ -168,6 +169,60 @@ from e group by conv_id
 """
 
 
+def rebuilt(placed: DataFrame) -> DataFrame:
+    """Conversations that share starts: the first h turns of a conversation of the hundred, then
+    its own turns after its first h; h is the remainder of its number's crc32 by 6."""
+    share = fold("conv", 6).alias("h")
+    convs = placed.select("conv").distinct().select("conv", (F.col("conv") - F.col("conv") % 100).alias("base"), share)
+    starts = placed.where("place <= 5").withColumnRenamed("conv", "base")
+    first = convs.join(starts, "base").where("place <= h").select("conv", F.lit(0).alias("part"), "place", "id", "chars")
+    own = placed.withColumn("h", share).where("place > h").select("conv", F.lit(1).alias("part"), "place", "id", "chars")
+    both = first.union(own).withColumnRenamed("place", "turn")
+    return trie.ranked(both, "conv", [F.col("part"), F.col("turn")]).select("conv", "place", "id", "chars")
+
+
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    placed = trie.in_order(trie.turn_ids(table(spark, folder, "conversations")))
+    return trie.prefix_trie(rebuilt(placed), placed.select("conv"))
+
+
+OP11_SQL = """
+with recursive t as (
+  select conv_id, [coalesce(role, ''), coalesce(text, '')] as said,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as place
+  from conversations where conv_id is not null
+), c as (
+  select conv_id, conv_id - conv_id % 100 as base,
+    xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(cast(conv_id as varchar), ''),
+      lambda x: [cast(ascii(x) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, b: case when b >= 0 then xor(a, b) else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295) % 6 as h
+  from (select distinct conv_id from t)
+), turns as (
+  select c.conv_id, 0 as part, place, said from c join t on t.conv_id = base and place <= h
+  union all select c.conv_id, 1, place, said from c join t on t.conv_id = c.conv_id and place > h
+), whole as (
+  select conv_id, coalesce(list(said order by part, place) filter (said is not null), []) as w
+  from c left join turns using (conv_id) group by conv_id
+), starts as (select conv_id, w, unnest(range(0, len(w) + 1)) as depth from whole),
+node as (
+  select w[1:depth] as p, depth, min(conv_id) as low, count(*) as n_convs,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(w) = depth), '')) as ends_sha256
+  from starts group by w[1:depth], depth
+), fan as (
+  select n.p, n.depth, n.low, n.n_convs, n.ends_sha256, up.low as parent, (select count(*) from node k where k.depth = n.depth + 1 and k.p[1:n.depth] = n.p) as n_children
+  from node n left join node up on up.depth = n.depth - 1 and up.p = n.p[1:n.depth-1]
+), spread as (
+  select p[1:d] as a, d, n_children, depth, case when depth = 0 then 0 else (n_convs - 1) * length(p[depth][2]) end as saved
+  from (select *, unnest(range(0, depth + 1)) as d from fan)
+), sums as (
+  select a, d, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved_tokens from spread group by a, d
+)
+select low as conv_id, cast(depth as bigint) as depth, parent as parent_conv_id, n_convs, n_children, n_leaves,
+  cast(saved_tokens as bigint) as saved_tokens, ends_sha256
+from fan join sums on a = p and d = depth
+"""
+
+
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -228,10 +283,12 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_ranked_search": op12_ranked_search,
     "op13_exact_dedup": op13_exact_dedup,
 }
 SQL: dict[str, str] = {
     "op4_chat_formatting": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL,
-    "op10_warc": OP10_SQL, "op12_ranked_search": OP12_SQL, "op13_exact_dedup": OP13_SQL,
+    "op10_warc": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_ranked_search": OP12_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
