@@ -1,7 +1,7 @@
 """Exact duplicates by distributed radix partitioning, most significant bytes first.
 
 Documents start in one group. Each round splits every open group by the next bytes of its texts
-(a digit of 64 bytes first, each later one 256 times as wide): rows are counted per group and
+(a digit of 4096 bytes first, each later one 64 times as wide): rows are counted per group and
 digit, and a row goes on with the rest of its text in the group of its digit. A group is finished
 when it holds a single document, or when its texts have ended; texts that were never told apart
 and ended together are equal. Bytes are compared as bytes, so equality rests on no digest.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import looked_up, stored
 
 #: Bytes of the first digit, and how much wider each next one is, up to WIDEST.
-FIRST, WIDER, WIDEST = 64, 256, 1 << 24
+FIRST, WIDER, WIDEST = 4096, 64, 1 << 24
 #: Bits of the table that tells single documents: 2**20 words of 64 bits are the most it sends.
 BITS = 1 << 26
 #: Rows of a group that travel to one task; larger groups are dealt out.

@@ -32,7 +32,7 @@ def found_groups(frame):
     return sorted((tuple(r[c] for c in columns) for r in rows), key=str), sum(r["kept"] for r in rows)
 
 
-@pytest.mark.parametrize("first, bits, group_rows", [(64, 1 << 26, 10_000), (4, 64, 3)])
+@pytest.mark.parametrize("first, bits, group_rows", [(4096, 1 << 26, 10_000), (4, 64, 3)])
 def test_exact_groups_equal_brute_force(spark, odd_docs, first, bits, group_rows):
     stem = "The same start of many texts, " * 40
     more = [(100 + i, stem + "ends"[: i % 5]) for i in range(23)] + [(200 + i, stem[: 7 * i]) for i in range(30)]
