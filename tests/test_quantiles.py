@@ -72,3 +72,24 @@ def test_a_rank_of_a_group_is_all_that_is_fetched(spark, monkeypatch):
     found = q.medians_by_group(df, ["x"], ["g"])
     assert found[(7,)]["x"] == 7 + 200 * 99.5
     assert len(fetched) <= 200 * 6
+
+
+def test_two_scans_however_many_columns_and_groups(spark, monkeypatch):
+    scans = []
+    frame = type(spark.range(0))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: scans.append(1) or collect(self))
+    df = spark.range(60_000).selectExpr("id % 7 as g", "cast(id as double) as x", "cast(hash(id) as double) as y")
+    found = q.quantiles_by_group(df, ["x", "y"], [0.1, 0.9], ["g"])
+    pdf = df.toPandas()
+    for g, rows in pdf.groupby("g"):
+        for c in ("x", "y"):
+            assert found[(g,)][c] == pytest.approx(list(rows[c].quantile([0.1, 0.9])))
+    assert len(scans) == 2
+
+
+def test_a_missed_bracket_is_noticed_and_widened(frame, monkeypatch):
+    monkeypatch.setattr(q, "sketch_widths", lambda size: [1e-9, 1e-3, 0.2, 1.0])
+    x = np.random.default_rng(4).normal(size=5_000)
+    got = q.quantiles(frame("x double", x=x), ["x"], PROBS)["x"]
+    assert got == pytest.approx(list(np.quantile(x, PROBS)))
