@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 from granary.errors import ValidationError
 from granary.functions.kinds import col
+from granary.operators import density
+from granary.operators.components import components
 from granary.session import local_frame, settled
 
 # The kernels travel to the executors with the job, so the package need not be installed there.
@@ -269,32 +271,6 @@ def knn_predict(
 # -- density clustering ----------------------------------------------------
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """``(node, root)`` with the smallest connected node, by alternating star contraction."""
-    edges = settled(links.where("a <> b").select("a", "b").distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = (
-            both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        ).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("low"))
-        joined = down.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).union(
-            joined.select("a", F.col("low").alias("b"))
-        )
-        edges = settled(small.where("a <> b").distinct())
-        state = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
-            break
-        before = state
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def dbscan(
     df: DataFrame, features: str, eps: float, min_samples: int = 5, id_column: str | None = None
 ) -> DataFrame:
@@ -304,7 +280,8 @@ def dbscan(
     Core points within ``eps`` of each other share a cluster; other points join the smallest
     cluster among their core neighbours. A cluster is named by its smallest core id, which
     must not be negative, or by an assigned number where there is no id column. Equal vectors
-    are folded into one weighted point.
+    are folded into one weighted point. Vectors of few dimensions go through a grid, others through
+    pivots, with the same result; null and non-finite vectors are noise.
     """
     if eps <= 0:
         raise ValidationError("eps must be positive")
@@ -315,12 +292,20 @@ def dbscan(
         folded = folded.withColumn("key", F.monotonically_increasing_id())
     else:
         folded = rows.groupBy("vec").agg(F.min(col(id_column)).cast("long").alias("key"), weight)
-    labels = _density_labels(settled(folded), eps, min_samples)
-    return rows.join(labels, "vec").drop("vec")
-
-
-def _density_labels(folded: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    points, cells = _cell_points(folded)
+    folded = settled(folded)
+    size = folded.agg(
+        F.max(F.size("vec")).alias("d"), F.max(F.array_max(F.transform("vec", F.abs))).alias("far")
+    ).first()
+    d = size["d"] or 1
+    fits = 1 <= d <= density.MAX_DIMENSIONS and (size["far"] or 0) * math.sqrt(d) / eps < density.MAX_CELL
+    find = density.grid_labels if fits else _density_labels
+    labels = find(folded, d, eps, min_samples)
+    return rows.join(labels.withColumnRenamed("vec", "of_vec"), F.col("vec").eqNullSafe(F.col("of_vec"))).drop("vec", "of_vec")
+
+
+def _density_labels(folded: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
+    finite = (F.size("vec") == d) & F.forall("vec", lambda v: v.isNotNull() & (F.abs(v) < math.inf))
+    points, cells = _cell_points(folded.where(finite))
     points = settled(points)
     radii, counts = cells.radii, cells.counts
 
@@ -350,7 +335,7 @@ def _density_labels(folded: DataFrame, eps: float, min_samples: int) -> DataFram
         return pd.DataFrame({"a": np.r_[a, b], "b": np.r_[root_a, root_b]})
 
     links = _meet(_visits(core, cells, in_reach), core, cells, link, "a long, b long")
-    roots = _components(links)
+    roots = components(links)
     named = settled(
         core.join(roots, core["key"] == roots["node"], "left").select(
             *core.columns, F.coalesce("root", "key").alias("cluster")
@@ -370,7 +355,7 @@ def _density_labels(folded: DataFrame, eps: float, min_samples: int) -> DataFram
     labels = named.select("key", "cluster", F.lit(True).alias("is_core")).unionByName(
         joined.groupBy("key").agg(F.min("cluster").alias("cluster"), F.lit(False).alias("is_core"))
     )
-    return points.select("vec", "key").join(labels, "key", "left").select(
+    return folded.select("vec", "key").join(labels, "key", "left").select(
         "vec",
         F.coalesce("cluster", F.lit(-1)).alias("cluster"),
         F.coalesce("is_core", F.lit(False)).alias("is_core"),

@@ -83,3 +83,23 @@ def numbered_copies(df: DataFrame, name: str) -> DataFrame:
     times = f"{name}_times"
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(times))
     return counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(name))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: Sequence[str], spread: str, limit: int) -> DataFrame:
+    """``rows`` left-joined with the one row that ``table`` has for each key of the columns ``on``.
+
+    Column ``n`` of ``table`` says how many of ``rows`` hold the key. Keys of more than ``limit``
+    rows are dealt out over several parts by the column ``spread``, and their row of the table is
+    repeated for each part, so no task gets all rows of a hot key. Only a hash of such keys, at
+    most count / limit of them, is broadcast; the join itself compares the keys.
+    """
+    place, parts = F.xxhash64(*on), F.ceil(F.col("n") / limit)
+    hot = F.broadcast(
+        table.where(F.col("n") > limit).groupBy(place.alias("place")).agg(F.max(parts).alias("parts"))
+    )
+    part = F.pmod(F.xxhash64(spread), F.coalesce("parts", F.lit(1)))
+    left = rows.withColumn("place", place).join(hot, "place", "left").withColumn("part", part)
+    last = F.coalesce("parts", F.lit(1)) - 1
+    right = table.withColumn("place", place).join(hot, "place", "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return left.drop("place", "parts").join(right.drop("place", "parts"), [*on, "part"], "left").drop("part")

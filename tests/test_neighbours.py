@@ -37,9 +37,11 @@ def brute_dbscan(x, eps, m):
     return np.where(out == far, -1, out), core
 
 
-@pytest.mark.parametrize("block", [2000, 23])
-def test_density_clusters_equal_brute_force(spark, frame, points, monkeypatch, block):
+@pytest.mark.parametrize("block, most", [(2000, 4), (23, 4), (23, 0)])
+def test_density_clusters_equal_brute_force(spark, frame, points, monkeypatch, block, most):
     monkeypatch.setattr(nb, "BLOCK", block)
+    monkeypatch.setattr(nb.density, "BLOCK", block)
+    monkeypatch.setattr(nb.density, "MAX_DIMENSIONS", most)
     df = table(spark, frame, points)
     got = nb.dbscan(df, "features", 0.35, 5, "id").toPandas().sort_values("id")
     label, core = brute_dbscan(points, 0.35, 5)
@@ -48,6 +50,34 @@ def test_density_clusters_equal_brute_force(spark, frame, points, monkeypatch, b
     assert len(set(label)) > 3
 
 
+@pytest.mark.parametrize("d", [1, 3])
+def test_density_clusters_on_a_grid_of_other_dimensions(spark, frame, d):
+    rng = np.random.default_rng(d)
+    x = np.round(np.vstack([rng.normal(c, 0.4, (70, d)) for c in (0, 2.2, -3)] + [rng.uniform(-4, 4, (60, d))]), 2)
+    got = nb.dbscan(table(spark, frame, x), "features", 0.3, 4, "id").toPandas().sort_values("id")
+    label, core = brute_dbscan(x, 0.3, 4)
+    assert (got.cluster.to_numpy() == label).all() and (got.is_core.to_numpy() == core).all()
+
+
+def test_cells_that_only_some_points_link(spark, frame, monkeypatch):
+    """Two rings of points whose outermost ones are far apart, but some inner ones are close."""
+    monkeypatch.setattr(nb.density, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.uniform((0, 0), (0.7, 0.7), (40, 2)), rng.uniform((1.35, 0), (2.0, 0.7), (40, 2)), [[0.69, 0.3], [1.4, 0.3]]])
+    for eps in (0.7, 0.8, 1.0):
+        got = nb.dbscan(table(spark, frame, x), "features", eps, 3, "id").toPandas().sort_values("id")
+        label, _ = brute_dbscan(x, eps, 3)
+        assert (got.cluster.to_numpy() == label).all()
+
+
+def test_density_of_odd_vectors(spark):
+    rows = [(i, [0.1 * i, 0.0]) for i in range(5)] + [(7, None), (8, [float("nan"), 0.0]), (9, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in nb.dbscan(df, "features", 0.15, 3, "id").collect()}
+    assert got == {0: (1, False), 1: (1, True), 2: (1, True), 3: (1, True), 4: (1, False), 7: (-1, False), 8: (-1, False), 9: (-1, False)}
+    assert nb.dbscan(df.limit(0), "features", 0.15, 3, "id").count() == 0
+
+
 def test_density_clusters_without_ids(spark, frame, points):
     got = nb.dbscan(table(spark, frame, points).drop("id"), "features", 0.35)
     label, _ = brute_dbscan(points, 0.35, 5)
@@ -77,3 +107,20 @@ def test_fewer_training_rows_than_k(spark, frame):
     train = table(spark, frame, [[0.0], [10.0]], label=[1.0, 3.0])
     test = table(spark, frame, [[1.0]])
     assert nb.knn_predict(train, test, 5, "regression").first()["prediction"] == 2.0
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_components_of_chains_hubs_and_nothing(spark, small):
+    from granary.operators.components import components
+
+    rng = np.random.default_rng(2)
+    pairs = [(i, i + 1) for i in range(200, 260)] + [(1, i) for i in range(2, 80)]
+    pairs += [tuple(map(int, p)) for p in rng.integers(300, 600, (150, 2))] + [(7, 7)]
+    root = {n: n for p in pairs for n in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    links = spark.createDataFrame([*pairs, (None, 5)], "a long, b long")
+    found = {r["node"]: r["root"] for r in components(links, small).collect()}
+    assert found == {n: r for n, r in root.items() if n != r}
+    assert components(links.where("a < 0"), small).count() == 0

@@ -167,6 +167,26 @@ def _(t):
     return found.select("c_custkey", "is_core", (F.col("cluster") == -1).alias("is_noise"))
 
 
+@query(
+    "density_memberships",
+    """
+    with recursive p as (select c_custkey, c_acctbal / 1000 as x, c_nationkey / 2.0 as y from customer),
+    n as (select a.c_custkey as a, b.c_custkey as b from p a, p b
+      where sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.2),
+    c as (select a from n group by 1 having count(*) >= 5),
+    l as (select a, b from n where a in (select a from c) and b in (select a from c)),
+    reach as (select a as node, a as low from c union select l.b, reach.low from reach join l on l.a = reach.node),
+    core as (select node, min(low) as cluster from reach group by 1),
+    border as (select n.a, min(core.cluster) as cluster from n join core on core.node = n.b group by 1)
+    select c_custkey, coalesce(core.cluster, border.cluster, -1) as cluster
+    from p left join core on core.node = c_custkey left join border on border.a = c_custkey
+    """,
+)
+def _(t):
+    rows = t.customer.selectExpr("c_custkey", "array(c_acctbal / 1000, c_nationkey / 2.0D) as features")
+    return neighbours.dbscan(rows, "features", 0.2, 5, "c_custkey").select("c_custkey", "cluster")
+
+
 def _blobs(t):
     return models.as_vectors(t.embeddings, "embedding").select("features")
 
