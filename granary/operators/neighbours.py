@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from granary.errors import ValidationError
 from granary.functions.kinds import col
-from granary.operators import density
+from granary.operators import density, hashed
 from granary.operators.components import components
 from granary.session import local_frame, settled
 
@@ -231,17 +231,39 @@ def _closest(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def nearest_approximately(train: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
+    """``nearest`` through hash tables (options as in ``fit_tables``), exact for queries that
+    meet fewer than k training values there."""
+    train, queries = settled(train), settled(queries)
+    tables = hashed.fit_tables(train, **options)
+    if tables is None:
+        return local_frame(train.sparkSession, [], "key string, distance double, label double, weight long")
+    found = settled(hashed.nearest_hashed(train, queries, k, tables))
+    whole = found.groupBy("key").agg(F.count("*").alias("met")).where(F.col("met") >= k).select("key")
+    short = settled(queries.join(whole, "key", "left_anti"))
+    found = found.join(whole, "key", "left_semi")
+    if short.isEmpty():
+        return found
+    return found.unionByName(nearest(train, short, k).select(*found.columns))
+
+
 def knn_predict(
     train: DataFrame, test: DataFrame, k: int = 5, task: str = "classification",
-    features: str = "features", label: str = "label",
+    features: str = "features", label: str = "label", method: str = "exact", **options,
 ) -> DataFrame:
     """The test table with ``prediction``: the vote or mean of the k nearest training rows.
 
+    ``method`` "hashed" looks for them by locality-sensitive hashing instead: much fewer distances
+    where vectors have structure, at the price of neighbours missed. Its options are ``tables``,
+    ``bits``, ``probes`` and ``seed``.
+
     Equal training rows are folded into one with a weight, equal test vectors are looked up
     once. Ties at the border go to the smaller label, as do tied votes.
     """
     if k < 1:
         raise ValidationError("k must be at least 1")
+    if method not in ("exact", "hashed"):
+        raise ValidationError("method is exact or hashed")
     folded = (
         train.select(vector_array(train, features).alias("vec"), col(label).cast("double").alias("label"))
         .where("label is not null")
@@ -252,7 +274,8 @@ def knn_predict(
         "key", F.concat_ws("-", F.hex(F.xxhash64("vec")), F.col("label").cast("string"))
     )
     asked = _vector_key(test.withColumn("vec", vector_array(test, features)))
-    found = nearest(points, asked.select("vec", "key").dropDuplicates(["key"]), k)
+    find = nearest if method == "exact" else nearest_approximately
+    found = find(points, asked.select("vec", "key").dropDuplicates(["key"]), k, **options)
     running = Window.partitionBy("key").orderBy("distance", "label").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -124,3 +124,44 @@ def test_components_of_chains_hubs_and_nothing(spark, small):
     found = {r["node"]: r["root"] for r in components(links, small).collect()}
     assert found == {n: r for n, r in root.items() if n != r}
     assert components(links.where("a < 0"), small).count() == 0
+
+
+@pytest.fixture(scope="module")
+def clumps():
+    rng = np.random.default_rng(31)
+    centres = rng.normal(0, 4, (40, 24))
+    return np.vstack([c + rng.normal(0, 0.4, (60, 24)) for c in centres])
+
+
+def keyed(spark, x, name):
+    from granary.session import local_frame
+
+    rows = [(f"{name}{i}", [float(v) for v in p], float(i), 1) for i, p in enumerate(x)]
+    return local_frame(spark, rows, "key string, vec array<double>, label double, weight long")
+
+
+@pytest.mark.parametrize("block", [2000, 9])
+def test_hashed_neighbours_find_most_with_few_distances(spark, clumps, monkeypatch, block):
+    monkeypatch.setattr(nb.hashed, "BLOCK", block)
+    asked = clumps[::20] if block > 100 else clumps[::200]
+    train, queries = keyed(spark, clumps, "t"), keyed(spark, asked, "q").select("key", "vec")
+    tables = nb.hashed.fit_tables(train, tables=2, bits=20, probes=32)
+    sizes = nb.hashed.met_buckets(train.withColumnRenamed("key", "tkey"), queries, tables)[2]
+    assert nb.hashed.compared_pairs(sizes) < 0.1 * len(asked) * len(clumps)
+    d = np.sqrt(((asked[:, None] - clumps[None]) ** 2).sum(2))
+    want = {(f"q{i}", float(j)) for i, row in enumerate(d) for j in np.argsort(row, kind="stable")[:5]}
+    got = {(r["key"], r["label"]) for r in nb.nearest_approximately(train, queries, 5, tables=2, bits=20, probes=32).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
+
+
+def test_hashed_neighbours_with_all_probes_are_exact(spark, frame, points):
+    y = np.random.default_rng(22).integers(0, 3, len(points)).astype(float)
+    train, test = table(spark, frame, points[:200], label=y[:200]), table(spark, frame, points[200:])
+    exact = nb.knn_predict(train, test, 5).select("id", "prediction")
+    found = nb.knn_predict(train, test, 5, method="hashed", tables=1, bits=3, probes=8).select("id", "prediction")
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, found.collect()))
+    # too few in a bucket: these queries go through the exact search
+    few = nb.knn_predict(train, test, 5, method="hashed", tables=1, bits=12, probes=1).select("id", "prediction")
+    assert few.count() == len(points) - 200
+    none = nb.knn_predict(train.limit(0), test, 5, method="hashed")
+    assert none.count() == 0

@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="test tables ar
 AT_LARGER = {
     "dashboard_layout", "target_scores", "role_suggestions", "outlier_rows_dropped",
     "change_after_zero_is_null", "daily_count_fills_gaps_with_zero", "daily_deviation_needs_two_rows",
-    "daily_mean_leaves_gaps_out", "daily_sum_fills_gaps_with_zero",
+    "daily_mean_leaves_gaps_out", "daily_sum_fills_gaps_with_zero", "hashed_neighbours_recall",
 }
 
 

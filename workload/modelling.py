@@ -2,7 +2,7 @@
 
 import uuid
 
-from granary.operators import features, models, neighbours
+from granary.operators import features, hashed, models, neighbours
 from granary.plans import training
 from granary.session import local_frame, shared_folder
 from granary.sources import runs
@@ -149,6 +149,29 @@ def _(t):
     return rounded(found.select("p_partkey", "prediction"))
 
 
+@query(
+    "hashed_neighbours_recall",
+    "select count(*) as asked, true as most_found, true as few_compared from customer where c_custkey % 20 = 0",
+)
+def _(t):
+    key = F.col("c_custkey").cast("string").alias("key")
+    rows = t.customer.select(
+        key, F.expr("array(c_acctbal / 1000, c_nationkey / 2.0D)").alias("vec"),
+        F.col("c_custkey").cast("double").alias("label"), F.lit(1).cast("long").alias("weight"), "c_custkey",
+    )
+    asked = rows.where("c_custkey % 20 = 0").select("key", "vec")
+    points = rows.drop("c_custkey")
+    tables = hashed.fit_tables(points, tables=1, bits=40, probes=16)
+    sizes = hashed.met_buckets(points.withColumnRenamed("key", "tkey"), asked, tables)[2]
+    found = neighbours.nearest_approximately(points, asked, 5, tables=1, bits=40, probes=16)
+    exact = neighbours.nearest(points, asked, 5)
+    shared = exact.join(found.select("key", "label"), ["key", "label"]).count() / exact.count()
+    compared = hashed.compared_pairs(sizes)
+    return asked.agg(F.count("*").alias("asked")).select(
+        "asked", F.lit(shared >= 0.95).alias("most_found"), (F.lit(compared) < 0.1 * F.col("asked") * points.count()).alias("few_compared")
+    )
+
+
 @query(
     "density_clusters",
     """
