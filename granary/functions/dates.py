@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +22,10 @@ DATE_LAYOUTS = {
     "yyyy-MM-dd HH:mm:ss.SSSSSSSSS": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{1,9}$",
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,9}$",
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSXXX": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,9}(Z|[+-]\d{2}:\d{2})$",
-    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "M/d/yyyy H:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
-    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
     "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Z][a-z]{3,8} \d{1,2}, \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Z][a-z]{2} \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Z][a-z]{3,8} \d{4}$",
     "d-MMM-yyyy": r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$",
     "yyyyMMdd": r"^(19|20)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$",
 }
@@ -32,28 +34,97 @@ DATE_LAYOUTS = {
 PERIODS = {"D": 1, "W": 7, "ME": 30, "QE": 91, "YE": 365}
 
 
-def parse_datetime(c: Column) -> Column:
+# Two short numbers and a year, with a time or without: the order of day and month is open.
+_ORDERED = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
+#: What a column's numbers allow: a first or a second number above 12 settles the order.
+DAY_FIRST, MONTH_FIRST, MIXED, OPEN = "day first", "month first", "mixed", "open"
+#: Texts that are longer have no mask; no date is.
+LONGEST_MASK = 40
+
+
+def _part(c: Column, group: int) -> Column:
+    return F.regexp_extract(c, _ORDERED, group)
+
+
+def _number(c: Column, group: int) -> Column:
+    return F.coalesce(F.try_to_number(F.nullif(_part(c, group), F.lit("")), F.lit("9999")).cast("int"), F.lit(0))
+
+
+def _ordered_datetime(c: Column, order: str) -> Column:
+    """Two numbers and a year as a timestamp: in the column's order, else in the one that fits.
+
+    Where the column leaves the order open, dots stand for day first and the others for month first.
+    """
+    first, second = _number(c, 1), _number(c, 3)
+    dotted = _part(c, 2) == "."
+    day_first = {DAY_FIRST: F.lit(True), MONTH_FIRST: F.lit(False)}.get(order, dotted)
+    day_first = F.when((first > 12) & (second <= 12), True).when((second > 12) & (first <= 12), False).otherwise(day_first)
+    month, day = F.when(day_first, second).otherwise(first), F.when(day_first, first).otherwise(second)
+    clock = [_number(c, g) for g in (5, 6, 7)]
+    return F.try_make_timestamp_ntz(_number(c, 4), month, day, clock[0], clock[1], clock[2].cast("decimal(16,6)"))
+
+
+def parse_datetime(c: Column, order: str = OPEN) -> Column:
     """A timestamp from text in one of the accepted layouts, else null.
 
-    A text is parsed only in the layout whose shape it has: a failed parse costs far more
-    than a failed pattern.
+    ``order`` is what ``date_orders`` says of the column. A text is parsed only in the layout
+    whose shape it has: a failed parse costs far more than a failed pattern.
     """
     tries = [
         F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(layout)).cast("timestamp_ntz"))
         for layout, shape in DATE_LAYOUTS.items()
     ]
-    return F.when(c.rlike(r"^(\d|[A-Z][a-z]{2} \d)"), F.coalesce(*tries))
+    ordered = F.when(c.rlike(_ORDERED), _ordered_datetime(c, order))
+    return F.when(c.rlike(r"^(\d|[A-Z][a-z]{2,8} \d)"), F.coalesce(ordered, *tries))
+
 
+def mask(c: Column) -> Column:
+    """The shape of a text: digits as 0, letters as a, all else as it is. Long texts have none."""
+    shape = F.regexp_replace(F.regexp_replace(c, r"\p{N}", "0"), r"\p{L}", "a")
+    return F.when(F.length(c) <= LONGEST_MASK, shape)
 
-def as_datetime(df: DataFrame, column: str, min_usable: int | None = None) -> Column:
-    """The column as a timestamp. ``min_usable`` makes one pass to reject a non-date column."""
+
+def mask_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, mask, rows, first_over_12, second_over_12)`` of text columns, in one scan.
+
+    Texts are counted by shape in each task before they are shuffled. The last two columns count
+    those whose first or second number can't be a month, where the shape is two numbers and a year.
+    """
+    if not columns:
+        raise ValidationError("No text columns to take masks of")
+    pairs = [e for c in columns for e in (F.lit(c), col(c).cast("string"))]
+    texts = df.select(F.stack(F.lit(len(columns)), *pairs).alias("column", "text")).where("text is not null")
+    text = F.col("text")
+    over = [F.count_if(text.rlike(_ORDERED) & (_number(text, g) > 12)) for g in (1, 3)]
+    return texts.groupBy("column", mask(text).alias("mask")).agg(
+        F.count("*").alias("rows"), over[0].alias("first_over_12"), over[1].alias("second_over_12")
+    )
+
+
+def date_orders(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The order of day and month in each text column, from all of its values."""
+    total = mask_counts(df, columns).groupBy("column").agg(
+        (F.sum("first_over_12") > 0).alias("first"), (F.sum("second_over_12") > 0).alias("second")
+    )
+    known = {(True, False): DAY_FIRST, (False, True): MONTH_FIRST, (True, True): MIXED, (False, False): OPEN}
+    found = {r["column"]: known[r["first"], r["second"]] for r in total.collect()}
+    return {c: found.get(c, OPEN) for c in columns}
+
+
+def as_datetime(df: DataFrame, column: str, min_usable: int | None = None, order: str | None = None) -> Column:
+    """The column as a timestamp. ``min_usable`` makes one pass to reject a non-date column.
+
+    The order of day and month in text is taken from all values of the column, in one pass,
+    where ``order`` doesn't state it.
+    """
     dtype = df.schema[column].dataType
     kind = kind_of(dtype)
     if kind == DATETIME:
         return col(column).cast("timestamp_ntz")
     if kind != CATEGORICAL or isinstance(dtype, T.NullType):
         raise ValidationError(f"'{column}' can't be read as dates")
-    parsed = parse_datetime(col(column))
+    order = order or date_orders(df, [column])[column]
+    parsed = parse_datetime(col(column), order)
     if min_usable is not None and df.agg(F.count(parsed)).first()[0] < min_usable:
         raise ValidationError(f"'{column}' can't be read as dates")
     return parsed

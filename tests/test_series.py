@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions import dates
 from granary.functions.dates import parse_datetime
 
 from granary.errors import ValidationError
@@ -92,3 +93,29 @@ def test_dates_in_many_layouts(spark):
     assert found == ["2024-01-05"] * len(texts)
     wrong = spark.createDataFrame([("2024-13-05",), ("20241305",), ("Jan",), ("12",), ("x 2024",)], "d string")
     assert [r[0] for r in wrong.select(parse_datetime(F.col("d"))).collect()] == [None] * 5
+
+
+def test_the_order_of_day_and_month_is_the_columns_own(spark):
+    rows = [
+        ("13/02/2024", "02/13/2024", "03/02/2024", "13/02/2024", "3.2.2024"),
+        ("03/02/2024", "02/03/2024", "04/02/2024 10:15", "02/13/2024", "x"),
+        (None, "99/99/2024", "", "03/02/2024", "04/31/2024"),
+    ]
+    df = spark.createDataFrame(rows, "day string, month string, either string, both string, dots string")
+    orders = dates.date_orders(df, df.columns)
+    assert orders == {
+        "day": dates.DAY_FIRST, "month": dates.MIXED, "either": dates.OPEN, "both": dates.MIXED, "dots": dates.MONTH_FIRST
+    }
+    assert dates.date_orders(df.limit(0), ["day"]) == {"day": dates.OPEN}
+    found = df.select(*[dates.as_datetime(df, c).cast("date").cast("string").alias(c) for c in ("day", "month", "either", "both")])
+    assert [tuple(r) for r in found.collect()] == [
+        ("2024-02-13", "2024-02-13", "2024-03-02", "2024-02-13"),
+        ("2024-02-03", "2024-02-03", "2024-04-02", "2024-02-13"),
+        (None, None, None, "2024-03-02"),
+    ]
+
+
+def test_masks_of_long_and_foreign_texts(spark):
+    df = spark.createDataFrame([("1" * 100,), ("Ab\u00e9 12",), ("Ab\u00e9 99",), (None,)], "t string")
+    found = {r["mask"]: r["rows"] for r in dates.mask_counts(df, ["t"]).collect()}
+    assert found == {None: 1, "aaa 00": 2}

@@ -1,6 +1,6 @@
 """Profiling, gaps, duplicates, statistics, correlation, outliers and roles."""
 
-from granary.functions.dates import as_datetime
+from granary.functions.dates import as_datetime, date_orders, mask_counts
 from granary.functions.kinds import column_kinds
 from granary.operators import profiling
 from granary.session import local_frame
@@ -318,6 +318,49 @@ def _(t):
     )
 
 
+MANY_LAYOUTS = [
+    "o_orderkey", "date_format(o_orderdate, 'dd/MM/yyyy') as day_first",
+    "date_format(o_orderdate, 'M-d-yyyy HH:mm') as month_first",
+    "if(day(o_orderdate) <= 12, date_format(o_orderdate, 'MM/dd/yyyy'), null) as unsettled",
+    "if(o_orderkey % 2 = 0, date_format(o_orderdate, 'dd.MM.yyyy'), date_format(o_orderdate, 'yyyy-MM-dd')) as dotted",
+    "date_format(o_orderdate, if(o_orderkey % 3 = 0, 'd MMMM yyyy', 'MMM d, yyyy')) as named",
+]
+
+
+@query(
+    "dates_in_many_layouts",
+    """
+    select o_orderkey, o_orderdate::date as day_first, o_orderdate::date as month_first,
+      case when day(o_orderdate) <= 12 then o_orderdate::date end as unsettled,
+      o_orderdate::date as dotted, o_orderdate::date as named from orders
+    """,
+)
+def _(t):
+    df = t.orders.selectExpr(*MANY_LAYOUTS)
+    columns = df.columns[1:]
+    orders = date_orders(df, columns)
+    return df.select("o_orderkey", *[as_datetime(df, c, order=orders[c]).cast("date").alias(c) for c in columns])
+
+
+@query(
+    "date_masks_counted",
+    """
+    with x as (
+      select 'day_first' as "column", strftime(o_orderdate, '%d/%m/%Y') as text from orders
+      union all select 'dotted', case when o_orderkey % 2 = 0 then strftime(o_orderdate, '%d.%m.%Y')
+        else strftime(o_orderdate, '%Y-%m-%d') end from orders
+      union all select 'unsettled', case when day(o_orderdate) <= 12 then strftime(o_orderdate, '%m/%d/%Y') end from orders
+    )
+    select "column", regexp_replace(text, '[0-9]', '0', 'g') as mask, count(*) as rows,
+      count(*) filter (text not like '%-%' and try_cast(text[1:2] as int) > 12) as first_over_12,
+      count(*) filter (text not like '%-%' and try_cast(text[4:5] as int) > 12) as second_over_12
+    from x where text is not null group by all
+    """,
+)
+def _(t):
+    return mask_counts(t.orders.selectExpr(*MANY_LAYOUTS), ["day_first", "dotted", "unsettled"])
+
+
 @query(
     "identifier_columns",
     """
