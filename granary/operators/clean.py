@@ -16,7 +16,7 @@ from granary.functions.text_numbers import numeric_text
 from granary.operators.counts import modes, per_column
 from granary.operators.profiling import iqr_bounds, missing_counts
 from granary.operators.quantiles import quantiles
-from granary.session import local_frame, reused
+from granary.session import local_frame, settled
 
 NUMERIC_STRATEGIES = ("median", "mean", "zero")
 CATEGORICAL_STRATEGIES = ("mode", "constant")
@@ -137,8 +137,8 @@ class Cleaned:
 def clean_dataset(df: DataFrame, numeric: str = "median", categorical: str = "mode") -> Cleaned:
     """Text to numbers, drop empty columns, drop duplicates, impute; with a report.
 
-    Duplicates are counted by the same shuffle that removes them. When there are none the
-    result carries no shuffle at all.
+    Duplicates are removed once, by one shuffle whose result is a checkpoint that the counts, the
+    fills and the cleaned table read. When there are none the result carries no shuffle at all.
     """
     _check_strategies(numeric, categorical)
     frame, coerced = coerce_numeric_columns(df)
@@ -148,12 +148,12 @@ def clean_dataset(df: DataFrame, numeric: str = "median", categorical: str = "mo
     frame = frame.drop(*[col(c) for c in removed]) if removed else frame
     if not frame.columns:
         raise ValidationError("No column of the table has a value")
-    with reused(frame.dropDuplicates()) as unique:
-        after = missing_counts(unique).collect()
-        duplicates = rows_before - after[0]["rows"]
-        gaps = {r["column"]: r["missing"] for r in after if r["missing"]}
-        fills = fit_fills(unique, list(gaps), numeric, categorical)
-    kept = frame.dropDuplicates() if duplicates else frame
+    unique = settled(frame.dropDuplicates())
+    after = missing_counts(unique).collect()
+    duplicates = rows_before - after[0]["rows"]
+    gaps = {r["column"]: r["missing"] for r in after if r["missing"]}
+    fills = fit_fills(unique, list(gaps), numeric, categorical)
+    kept = unique if duplicates else frame
     kind = kinds(kept)
     report = [("rows_before", None, None, rows_before), ("rows_after", None, None, after[0]["rows"])]
     report += [("read_as_number", c, None, None) for c in coerced]

@@ -417,7 +417,7 @@ class Detection:
 
 
 def detect_problem_type(
-    df: DataFrame, target: str | None = None, exact: bool = True
+    df: DataFrame, target: str | None = None, exact: bool = False
 ) -> Detection:
     """Score every column as a target and derive the task from the best or the given one.
 

@@ -214,6 +214,24 @@ def _blobs(t):
     return models.as_vectors(t.embeddings, "embedding").select("features")
 
 
+@query(
+    "kernel_machine_finds_a_band",
+    "select count(*) as rows, true as kernel_finds_it, true as plane_does_not from customer",
+)
+def _(t):
+    rows = t.customer.selectExpr("array(c_acctbal / 3000) as v", "cast(abs(c_acctbal - 4500) < 2000 as double) as label")
+    df = models.as_vectors(rows, "v").select("features", "label")
+
+    def right(name, **params):
+        scored = models.fit(name, df, "classification", params).transform(df)
+        return scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+
+    kernel, plane = right("kernel_svc", gamma=2.0, C=100.0, features=64), right("linear_svc")
+    return df.agg(F.count("*").alias("rows")).select(
+        "rows", F.lit(kernel > 0.97).alias("kernel_finds_it"), F.lit(plane < 0.8).alias("plane_does_not")
+    )
+
+
 @query("kmeans_sizes", "select count(*) as rows, 4::bigint as clusters from embeddings")
 def _(t):
     df = _blobs(t)

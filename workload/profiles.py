@@ -267,7 +267,7 @@ def _(t):
 )
 def _(t):
     df = t.labelled().select("lang", "n_chars", "quality", "toxic")
-    found = profiling.detect_problem_type(df).candidates
+    found = profiling.detect_problem_type(df, exact=True).candidates
     return found.select("column", "kind", "distinct", "score", "suggested_task")
 
 
@@ -276,7 +276,7 @@ def _(t):
     "select 'regression' as task, 'o_totalprice' as target, 'high' as confidence, true as auto",
 )
 def _(t):
-    d = profiling.detect_problem_type(t.orders)
+    d = profiling.detect_problem_type(t.orders, exact=True)
     row = (d.problem_type, d.target, d.confidence, d.auto_detected)
     return local_frame(t.spark, [row], "task string, target string, confidence string, auto boolean")
 
