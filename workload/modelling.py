@@ -2,7 +2,7 @@
 
 import uuid
 
-from granary.operators import features, hashed, models, neighbours
+from granary.operators import features, hashed, models, neighbours, ward
 from granary.plans import training
 from granary.session import local_frame, shared_folder
 from granary.sources import runs
@@ -239,6 +239,16 @@ def _(t):
     return sizes.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("clusters"))
 
 
+@query("ward_clusters", "select c_custkey, c_nationkey // 5 as spot from customer")
+def _(t):
+    # five bands of customers that lie far from each other, named by their smallest nation
+    rows = t.customer.selectExpr("c_custkey", "c_nationkey", "array(floor(c_nationkey / 5) * 9.0D, c_acctbal / 10000) as v")
+    df = models.as_vectors(rows, "v").select("c_custkey", "c_nationkey", "features")
+    found = ward.fit_ward(df, 5).transform(df)
+    low = found.groupBy("prediction").agg(F.min("c_nationkey").alias("low"))
+    return found.join(low, "prediction").select("c_custkey", F.expr("cast(low div 5 as int)").alias("spot"))
+
+
 @query("bisecting_sizes", "select count(*) as rows, 4::bigint as clusters from customer")
 def _(t):
     ready, _ = features.prepare_features(
