@@ -6,35 +6,41 @@ N-gram counts are quantised on a log scale, and an n-gram of level q is entered
 in the same way, how many different words follow a history.
 
 The filter is cut into shards by hash, as many as the corpus needs, so its size follows the
-number of n-grams. While it has no more than BROADCAST_BYTES it is sent to the tasks; beyond,
-each text's distinct n-grams are taken to the shards instead, with the same answers. Word counts
-for the exact base score are exact: the most frequent words are sent, the rest joined.
+number of n-grams. While it has no more than MAPPED_BYTES it is written as one file that tasks map
+into memory, so the workers of an executor share its pages; where the shared folder is no mounted
+one, tasks get it as a broadcast of at most BROADCAST_BYTES. Beyond, each text's distinct n-grams are
+taken to the shards instead, with the same answers. Word counts for the exact base score are exact:
+the most frequent words are sent, the rest joined.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import Any
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordHashes, blocks, joined, lowered, mixed, stored, utf8
+from granary.llm.common import WordHashes, blocks, joined, lowered, mixed, stored, utf8, work_path
 from granary.llm.mixing import word_count
 
 #: The token at the end of each text, and the history before its first word; no word has a space.
 END, START = b" end", b" start"
-#: Probes of a level, and bits for each entry: about two false answers in a hundred.
-PROBES, BITS = 5, 8.0
+#: Probes of a level, and bits for each entry: about eight false answers in a thousand.
+PROBES, BITS = 7, 10.0
 #: N-grams, repeats included, that one shard is made from.
 SHARD_TOKENS = 3_000_000
-#: A filter up to this size is broadcast.
+#: A filter up to this size is mapped from a file in a mounted shared folder.
+MAPPED_BYTES = 512 << 20
+#: Elsewhere one up to this size is broadcast, of which every worker holds a copy.
 BROADCAST_BYTES = 160 << 20
-#: Words whose exact counts every task holds; the rest are joined.
+#: Words, at most, whose exact counts every task holds; the rest are joined.
 HEAD_WORDS = 1_000_000
 #: N-grams that a task counts before it passes partial counts on.
 COUNT_TOKENS = 1_800_000
@@ -123,17 +129,16 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filter:
-    """Shards laid end to end: bits, and where each shard begins and how many bits it has."""
+    """Bytes that hold all shards, and where each shard begins and how many bits it has."""
 
     bits: np.ndarray
     begin: np.ndarray
     size: np.ndarray
 
     @staticmethod
-    def of(bits: bytes, size: np.ndarray) -> Filter:
-        """From the shards' bytes end to end, which are not copied, and the bytes of each."""
-        begin = np.cumsum(size) - size
-        return Filter(np.frombuffer(bits, np.uint8), begin, size.astype(np.uint64) * np.uint64(8))
+    def of(bits: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Filter:
+        """From bytes that hold the shards, which are not copied, and place and length of each."""
+        return Filter(bits, begin, size.astype(np.uint64) * np.uint64(8))
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts read back: repeated membership probes, level by level, until one is missing."""
@@ -294,8 +299,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, shard_tokens: int
     )
     made = stored(partial.groupBy("shard").applyInArrow(_shard_made(shards), _SHARD), "counted")
     past = made.where(F.col("kind") == _PAST).groupBy("shard").applyInArrow(_past_made, _SHARD)
-    bits = made.where(F.col("kind") == _GRAM).unionByName(past)
-    bits = stored(bits.select("kind", "shard", F.col("a").alias("bits")), "filter")
+    bits = made.where(F.col("kind") == _GRAM).unionByName(stored(past, "histories"))
+    bits = bits.select("kind", "shard", F.col("a").alias("bits"))
     words = made.where(F.col("kind") == _WORD).select("keys", "a").mapInArrow(_unpacked, "word long, n long")
     words = stored(words, "words")
     filter_bytes = bits.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
@@ -335,7 +340,7 @@ _SCORED = "struct<n_tokens: bigint, n_known: bigint, logs: double, score: double
 
 def _scored(lengths: np.ndarray, words: np.ndarray, logs: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> list[tuple]:
     """Per text: tokens, known words and log counts among the head words, score, and other words."""
-    keys, counts = head
+    keys, counts = (values[:-1] for values in head)
     words = mixed(words)  # as n-grams of one word are counted
     distinct, back = np.unique(words, return_inverse=True)
     at = np.searchsorted(keys, distinct)
@@ -363,76 +368,137 @@ def _struct(rows: list[tuple]) -> pa.StructArray:
     return pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(offsets, flat)], names)
 
 
-def _end_to_end(model: LanguageModel) -> dict[int, tuple[bytes, np.ndarray]]:
-    """For each kind its shards' bytes in order, and how many each has; a missing shard has 8 of zero."""
-    table = model.filter.toArrow()
-    cells = {
-        (kind, shard): bits.as_buffer()
-        for kind, shard, bits in zip(table["kind"].to_pylist(), table["shard"].to_pylist(), table["bits"])
-    }
-    out = {}
-    for kind in (_GRAM, _PAST):
-        own = [cells.get((kind, shard), bytes(8)) for shard in range(model.shards)]
-        out[kind] = b"".join(own), np.array([len(b) for b in own], np.int64)
-    return out
+@dataclass(frozen=True)
+class _Sent:
+    """An array that every task reads: a file in the shared folder to map, or a broadcast of bytes."""
+
+    kind: str
+    path: str | None
+    broadcast: Any
+
+    def array(self) -> np.ndarray:
+        if self.path is None:
+            return np.frombuffer(self.broadcast.value, self.kind)
+        return np.asarray(np.memmap(self.path, self.kind, "r"))
+
+
+def _mounted(df: DataFrame) -> bool:
+    """Whether the files that ``df`` is read from lie in a mounted folder, which tasks can map."""
+    files = df.inputFiles()
+    return bool(files) and all(f.startswith("file:") for f in files)
+
+
+def _sent(spark: SparkSession, parts: Iterable[bytes], kind: str, mounted: bool) -> _Sent:
+    """Parts end to end, written a part at a time where the shared folder is mounted."""
+    if not mounted:
+        return _Sent(kind, None, spark.sparkContext.broadcast(b"".join(parts)))
+    path = unquote(urlparse(work_path(spark, "mapped")).path)
+    with open(path, "wb") as out:
+        for part in parts:
+            out.write(part)
+    return _Sent(kind, path, None)
+
+
+def _sent_filter(model: LanguageModel, mounted: bool) -> tuple[_Sent, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The filter's bytes, and where each kind's shards begin and how many bytes they have.
+
+    Shards lie in the order they come in; a missing one reads the 8 bytes of zero at the beginning.
+    """
+    places = {k: (np.zeros(model.shards, np.int64), np.full(model.shards, 8, np.int64)) for k in (_GRAM, _PAST)}
+
+    def parts() -> Iterator[bytes]:
+        yield bytes(8)
+        at = 8
+        for row in model.filter.toLocalIterator():
+            begin, size = places[row["kind"]]
+            begin[row["shard"]], size[row["shard"]] = at, len(row["bits"])
+            at += len(row["bits"])
+            yield bytes(row["bits"])
+
+    return _sent(model.filter.sparkSession, parts(), "u1", mounted), places
+
+
+def _head(model: LanguageModel, most: int, mounted: bool) -> tuple[_Sent, _Sent]:
+    """Keys in order and counts of the most frequent words: ``most`` at most.
+
+    Words are counted by the size of their count first, so no task sorts or sends more than is taken.
+    """
+    size = F.floor(F.log("n") / math.log(_BASE))
+    sizes = sorted(model.words.groupBy(size.alias("size")).count().collect(), reverse=True)
+    least, taken = math.inf, 0
+    for at, count in sizes:
+        if (taken := taken + count) > most:
+            break
+        least = at
+    rows = model.words.where(size >= F.lit(float(least))).toArrow()
+    keys, counts = rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(np.float64)
+    order = np.argsort(keys)
+    spark = model.words.sparkSession
+    # eight bytes more, which are not read, as an empty file can't be mapped
+    return (
+        _sent(spark, [keys[order].tobytes(), bytes(8)], "u8", mounted),
+        _sent(spark, [counts[order].tobytes(), bytes(8)], "f8", mounted),
+    )
 
 
 def score(
     docs: DataFrame, model: LanguageModel, text: str = "text", head_words: int = HEAD_WORDS,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    sent_bytes: int | None = None, map_files: bool | None = None,
 ) -> DataFrame:
     """``docs`` without the text, with ``n_tokens``, ``n_known``, ``base_score`` and ``score``.
 
     ``score`` is the model's log10 probability of the whole text with its end. ``base_score`` sums
     log10((c + 1) / (N + V + 1)) with exact counts; ``n_known`` counts tokens with c > 0. Null
-    texts are empty: one end token. All other columns stay; a column of a result's name is replaced.
-    A model of no tokens gives a score of 0.
+    texts are empty: one end token. All other columns stay, under any name; a column of a result's
+    name is replaced. A model of no tokens gives a score of 0.
+
+    A filter of at most ``sent_bytes`` is given to all tasks, as a mapped file or a broadcast
+    (``map_files``; by default mapped where the shared folder is a mounted one).
     """
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    kept = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "base_score", "score", "row_of_text")]
-    top = model.words.orderBy(F.desc("n"), "word").limit(head_words).toArrow()
-    keys, counts = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(keys)
-    head = context.broadcast((keys[order], counts[order].astype(np.float64)))
+    mounted = _mounted(model.filter) if map_files is None else map_files
+    if sent_bytes is None:
+        sent_bytes = MAPPED_BYTES if mounted else BROADCAST_BYTES
+    kept = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "base_score", "score")]
+    own = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(0)
+    docs = docs.select(own.alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    head = _head(model, head_words, mounted)
     sizes = (model.order, model.tokens, model.distinct)
-    whole = F.coalesce(F.col(text), F.lit(""))
 
-    if model.filter_bytes <= broadcast_bytes:
-        # plain bytes: a task reads them once and keeps no second copy
-        sent = context.broadcast(_end_to_end(model))
+    if model.filter_bytes <= sent_bytes:
+        sent, places = _sent_filter(model, mounted)
 
         @F.arrow_udf(_SCORED)
         def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            filters, hashes = {k: Filter.of(*v) for k, v in sent.value.items()}, WordHashes(1)
+            bits, top, hashes = sent.array(), tuple(h.array() for h in head), WordHashes(1)
+            filters = {kind: Filter.of(bits, *at) for kind, at in places.items()}
             for texts in batches:
                 rows = []
                 for cut, lengths in blocks(utf8(texts), lambda t: [*lowered(t), END]):
                     words = np.concatenate([hashes.of(t) for t in cut])
                     read = _read(_needed(words, lengths, sizes[0]), lambda kind, k: filters[kind].counts(k))
-                    rows += _scored(lengths, words, _logs(read, *sizes), head.value)
+                    rows += _scored(lengths, words, _logs(read, *sizes), top)
                 yield _struct(rows)
 
-        found = docs.select(*kept, scored(whole).alias("s"))
+        found = docs.select("own", scored("text").alias("s"))
     else:
-        found = _scored_by_shard(docs.select(*kept, whole.alias(text)), model, text, head)
-    found = stored(found.withColumn("row_of_text", F.monotonically_increasing_id()), "scored")
-    rare = found.select("row_of_text", F.explode("s.rare").alias("word"))
-    rare = rare.groupBy("row_of_text", "word").agg(F.count("*").alias("times"))
+        found = _scored_by_shard(docs, model, head)
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "scored")
+    rare = found.select("row", F.explode("s.rare").alias("word"))
+    rare = rare.groupBy("row", "word").agg(F.count("*").alias("times"))
     known = rare.join(model.words.withColumnRenamed("word", "of"), F.col("word") == F.col("of"))
-    known = known.groupBy("row_of_text").agg(
+    known = known.groupBy(F.col("row").alias("known_row")).agg(
         F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs")
     )
     share = math.log10(model.tokens + model.distinct + 1)
     logs = F.col("s.logs") + F.coalesce("rare_logs", F.lit(0.0))
-    return found.join(known.withColumnRenamed("row_of_text", "row"), F.col("row_of_text") == F.col("row"), "left").select(
-        *kept, F.col("s.n_tokens").alias("n_tokens"),
+    return found.join(known, F.col("row") == F.col("known_row"), "left").select(
+        *(F.col("own").getField(c).alias(c) for c in kept), F.col("s.n_tokens").alias("n_tokens"),
         (F.col("s.n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         (logs - F.col("s.n_tokens") * share).alias("base_score"), F.col("s.score").alias("score"),
     )
 
 
-def _scored_by_shard(docs: DataFrame, model: LanguageModel, text: str, head) -> DataFrame:
+def _scored_by_shard(docs: DataFrame, model: LanguageModel, head: tuple[_Sent, _Sent]) -> DataFrame:
     """The same for a filter too large to send: keys go to the shards, counts come back.
 
     Rows are one text's distinct keys of one shard; a shard meets the rows in portions of about a
@@ -455,7 +521,7 @@ def _scored_by_shard(docs: DataFrame, model: LanguageModel, text: str, head) ->
                         rows.append((row, kind, p, own.tobytes()))
                 yield _packed(rows, ["row", "kind", "shard", "keys"])
 
-    asks = docs.select("text_row", text).mapInArrow(ask, "row long, kind long, shard long, keys binary")
+    asks = docs.select("text_row", "text").mapInArrow(ask, "row long, kind long, shard long, keys binary")
     portions = max(1, math.ceil(model.tokens * 3 * model.order / shards / 1_000_000))
     asks = asks.withColumn("portion", F.pmod(F.xxhash64("row"), F.lit(portions)))
     filters = model.filter.withColumn("portion", F.explode(F.sequence(F.lit(0), F.lit(portions - 1)))).select(
@@ -464,7 +530,7 @@ def _scored_by_shard(docs: DataFrame, model: LanguageModel, text: str, head) ->
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         bits = right["bits"][0].as_py() if len(right) else bytes(8)
-        held = Filter.of(bits, np.array([len(bits)]))
+        held = Filter.of(np.frombuffer(bits, np.uint8), np.zeros(1, np.int64), np.array([len(bits)]))
         rows = [
             (row, kind, keys, held.counts(np.frombuffer(keys, np.uint64)).tobytes())
             for row, kind, keys in zip(*(left[c].to_pylist() for c in ("row", "kind", "keys")))
@@ -480,7 +546,7 @@ def _scored_by_shard(docs: DataFrame, model: LanguageModel, text: str, head) ->
 
     @F.arrow_udf(_SCORED)
     def scored(texts: pa.Array, reads: pa.Array) -> pa.Array:
-        hashes, rows = WordHashes(1), []
+        hashes, rows, top = WordHashes(1), [], tuple(h.array() for h in head)
         for raw, parts in zip(utf8(texts), reads):
             words, table = hashes.of([*lowered(raw), END]), {}
             for kind in (_GRAM, _PAST):
@@ -492,8 +558,7 @@ def _scored_by_shard(docs: DataFrame, model: LanguageModel, text: str, head) ->
             read = _read(
                 _needed(words, lengths, sizes[0]), lambda kind, k: table[kind][1][np.searchsorted(table[kind][0], k)]
             )
-            rows += _scored(lengths, words, _logs(read, *sizes), head.value)
+            rows += _scored(lengths, words, _logs(read, *sizes), top)
         return _struct(rows)
 
-    kept = [c for c in docs.columns if c not in (text, "text_row")]
-    return both.select(*kept, scored(text, "read").alias("s"))
+    return both.select("own", scored("text", "read").alias("s"))

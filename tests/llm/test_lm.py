@@ -1,11 +1,15 @@
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import lm
+from granary.llm.common import fold
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def tokens(text):
@@ -23,11 +27,11 @@ def brute(rows):
     return total, out
 
 
-@pytest.mark.parametrize("head, sent", [(1_000_000, 1 << 30), (3, 0)])
-def test_exact_columns_and_both_ways(odd_docs, head, sent):
+@pytest.mark.parametrize("head, sent, mapped", [(1_000_000, 1 << 30, True), (3, 1 << 30, False), (0, 1 << 30, None), (3, 0, None)])
+def test_exact_columns_and_all_ways(odd_docs, head, sent, mapped):
     model = lm.train(odd_docs, shard_tokens=20_000)
     assert model.shards > 1
-    found = lm.score(odd_docs, model, head_words=head, broadcast_bytes=sent).collect()
+    found = lm.score(odd_docs, model, head_words=head, sent_bytes=sent, map_files=mapped).collect()
     total, expected = brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     assert model.tokens == total
     order = lambda r: (str(r[0]), r[1], round(r[3], 6))
@@ -40,10 +44,60 @@ def test_exact_columns_and_both_ways(odd_docs, head, sent):
 
 def test_both_ways_give_the_same_scores(odd_docs):
     model = lm.train(odd_docs, shard_tokens=20_000, order=3)
-    one, two = (
-        sorted(r["score"] for r in lm.score(odd_docs, model, broadcast_bytes=n).collect()) for n in (1 << 30, 0)
+    one, two, three = (
+        sorted(r["score"] for r in lm.score(odd_docs, model, sent_bytes=n, map_files=mapped).collect())
+        for n, mapped in ((1 << 30, True), (1 << 30, False), (0, True))
     )
-    assert one == pytest.approx(two, abs=1e-9)
+    assert one == pytest.approx(two, abs=1e-9) and one == pytest.approx(three, abs=1e-9)
+
+
+def exact_score(own, grams, pasts, order):
+    """Witten-Bell from exact counts, as the filter's answers are to come near."""
+    total, distinct = pasts[()]
+    out, history = 0.0, [b" start"] * (order - 1)
+    for t in own:
+        p = (grams[(t,)] + distinct / (distinct + 1)) / (total + distinct)
+        for n in range(1, order):
+            past = tuple(history[len(history) - n :])
+            if past in pasts:
+                number, followers = pasts[past]
+                p = (grams[(*past, t)] + followers * p) / (number + followers)
+        out += math.log10(p)
+        history = [*history, t][1:] if order > 1 else history
+    return out
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="test tables are not here")
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_come_near_those_of_exact_counts(spark, order):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    held = fold("doc_id", 7) == 2
+    model = lm.train(docs.where(~held), order=order)
+    grams = Counter()
+    for r in docs.where(~held).collect():
+        own = [*[b" start"] * (order - 1), *tokens(r["text"])]
+        for at in range(order - 1, len(own)):
+            grams.update(tuple(own[at - n : at + 1]) for n in range(order))
+    pasts = {}
+    for g, count in grams.items():
+        number, followers = pasts.get(g[:-1], (0, 0))
+        pasts[g[:-1]] = number + count, followers + 1
+    texts = {r["doc_id"]: r["text"] for r in docs.where(held).collect()}
+    off = []
+    for r in lm.score(docs.where(held), model).collect():
+        exact = exact_score(tokens(texts[r["doc_id"]]), grams, pasts, order)
+        off.append((r["score"] - exact) / r["n_tokens"])
+    assert abs(np.mean(off)) < 0.015 and np.abs(off).max() < 0.15
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b", 7, 8, 9, 10, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, s int, row int, rare_known int, `a.b` int, row_of_text int")
+    model = lm.train(docs)
+    for sent in (1 << 30, 0):
+        found = lm.score(docs, model, sent_bytes=sent).first().asDict()
+        assert (found["s"], found["row"], found["rare_known"], found["a.b"], found["row_of_text"]) == (7, 8, 9, 10, 11)
+    assert lm.score(docs.select("text"), model).columns == ["n_tokens", "n_known", "base_score", "score"]
 
 
 def test_counts_are_read_back_on_a_log_scale():
@@ -51,7 +105,7 @@ def test_counts_are_read_back_on_a_log_scale():
     keys = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
     counts = np.maximum(1, rng.pareto(0.7, 20_000).astype(np.int64).clip(0, 10**6))
     bits = lm.built(keys, counts)
-    held = lm.Filter.of(bits, np.array([len(bits)]))
+    held = lm.Filter.of(np.frombuffer(bits, np.uint8), np.zeros(1, np.int64), np.array([len(bits)]))
     read = held.counts(keys)
     off = np.abs(np.log(read / counts))
     assert (off <= np.log(lm._BASE) + 1e-9).mean() > 0.95
