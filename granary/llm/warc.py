@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored, work_path
+from granary.llm.common import lowest, stored, work_path
 
 #: Fixed values of the formats: the dictionary frame's magic, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -140,9 +140,15 @@ def write_archives(
     again = stored(again.select(F.col("id").alias("of"), F.col("digest").alias("equal"), "first").distinct(), "revisits")
     full = rows.join(again, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("equal")), "left")
 
-    taught = rows.select("id", "url", "payload").orderBy(F.xxhash64("digest", "id"), "id").limit(SAMPLE_ROWS)
-    taught = taught.withColumn("payload", F.substring(F.col("payload").cast("binary"), 1, SAMPLE_BYTES))
-    samples = [page_record(r["id"], r["url"], bytes(r["payload"]), None, False) for r in taught.collect()]
+    # pages to learn from are chosen by their digests; only their payloads' beginnings travel
+    chosen = lowest(small, F.xxhash64("digest", "id"), ["id"], SAMPLE_ROWS, small.count())
+    chosen = chosen.select(F.col("id").alias("of"), F.col("digest").alias("equal")).distinct()
+    cut = F.substring(F.col("payload").cast("binary"), 1, SAMPLE_BYTES).alias("payload")
+    taught = rows.join(
+        F.broadcast(chosen), F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("equal")), "left_semi"
+    )
+    taught = taught.groupBy("digest", "id").agg(F.min(F.struct("url", cut)).alias("page")).orderBy("digest", "id")
+    samples = [page_record(r["id"], r["page"]["url"], bytes(r["page"]["payload"]), None, False) for r in taught.collect()]
     dictionary = build_dictionary(samples)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
