@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored
+from granary.llm.common import lowest, stored
 from granary.llm.components import components
 
 COSINE = 0.95
@@ -112,29 +112,60 @@ def encoded(units: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np
     return own, code.astype(np.uint8), error.astype(np.float32), asks
 
 
-def linked(asking: np.ndarray, members: np.ndarray, code: np.ndarray, error: np.ndarray, centroid: np.ndarray,
-           index: Index, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (asker, member) of one list whose exact cosine reaches the threshold."""
-    rest = (_padded(asking).astype(np.float32) - centroid).reshape(len(asking), SUBSPACES, -1)
-    reach = (index.radius + error) ** 2 + 1e-5
-    left, right = [], []
+def linked(asking: np.ndarray, members: np.ndarray, code: np.ndarray, error: np.ndarray, lists: np.ndarray,
+           asked: np.ndarray, index: Index, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (asker, member) whose exact cosine reaches the threshold.
+
+    ``lists`` has the list of each member, ``asked`` (askers by distinct lists, in order) who asks
+    which. The distance of an asker q to the code of a member of list c is
+    ``|q - c|^2 - 2 sum q.w + sum (2 c.w + |w|^2)`` over the subspaces, where the products q.w are
+    looked up in a table per asker that serves all lists.
+    """
+    left, right = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    order = np.argsort(lists, kind="stable")
+    lists, column = np.unique(lists[order], return_inverse=True)
+    subspaces = np.arange(SUBSPACES)
+    centroids = index.centroids[lists]
+    parts = centroids.reshape(len(lists), SUBSPACES, -1)
+    code, lengths = code[order].astype(np.intp), (index.codewords * index.codewords).sum(axis=2)
+    turned = np.einsum("swd,lsd->lsw", index.codewords, parts)
+    words = lengths[subspaces, code] + 2 * turned[column[:, None], subspaces, code]
+    # single precision loses a few units in the last place of sums of up to about nine
+    reach = (index.radius + error[order]) ** 2 + 1e-4 - words.sum(axis=1)
+    askers = _padded(asking).astype(np.float32)
     for i in range(0, len(asking), _STEP):
-        part = rest[i : i + _STEP]
-        # members by askers: a looked-up row is one copy of memory
-        distance = np.zeros((len(members), len(part)), np.float32)
-        for s in range(SUBSPACES):
-            gap = index.codewords[s][:, None] - part[None, :, s]
-            distance += np.einsum("wqd,wqd->wq", gap, gap)[code[:, s]]
-        near = distance <= reach[:, None]
-        columns, rows = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        if not len(rows):
-            continue
-        exact = asking[i + rows] @ members[columns].T >= cosine
-        a, b = np.nonzero(exact & near[np.ix_(columns, rows)].T)
-        left.append((i + rows[a]).astype(np.int32))
-        right.append(columns[b].astype(np.int32))
-    none = np.zeros(0, np.int32)
-    return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none)
+        part, wanted = askers[i : i + _STEP], asked[i : i + _STEP]
+        table = np.stack([index.codewords[s] @ p.T for s, p in enumerate(np.split(part, SUBSPACES, axis=1))])
+        own = (part * part).sum(axis=1) - 2 * centroids @ part.T + (centroids * centroids).sum(axis=1)[:, None]
+        own[~wanted.T] = np.inf
+        at = np.flatnonzero(wanted.any(axis=0)[column])
+        for k in range(0, len(at), _STEP):
+            some = at[k : k + _STEP]
+            # members by askers: a looked-up row is one copy of memory
+            match = table[0].take(code[some, 0], axis=0)
+            for s in range(1, SUBSPACES):
+                match += table[s].take(code[some, s], axis=0)
+            match *= 2
+            match += reach[some, None]
+            near = match >= own.take(column[some], axis=0)
+            if not near.any():
+                continue
+            columns, rows = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            exact = asking[i + rows] @ members[order[some[columns]]].T >= cosine
+            a, b = np.nonzero(exact & near[np.ix_(columns, rows)].T)
+            left.append((i + rows[a]).astype(np.int32))
+            right.append(order[some[columns[b]]].astype(np.int32))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _bundled(asks: list[np.ndarray], wide: int) -> pa.ListArray:
+    """The lists each vector asks, in ascending order, cut into those of each bundle of ``wide`` lists."""
+    flat, row = np.concatenate(asks), np.repeat(np.arange(len(asks)), [len(a) for a in asks])
+    bundle = flat // wide
+    new = np.flatnonzero(np.r_[True, (bundle[1:] != bundle[:-1]) | (row[1:] != row[:-1])])
+    inner = pa.ListArray.from_arrays(pa.array(np.append(new, len(flat)), pa.int32()), pa.array(flat, pa.int64()))
+    outer = np.searchsorted(row[new], np.arange(len(asks) + 1))
+    return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), inner)
 
 
 def _lowest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -159,16 +190,22 @@ def _usable(vector: str) -> Column:
     )
 
 
-def _compared(coded: DataFrame, index: Index, cosine: float) -> DataFrame:
-    """``(id, n, root)``: links that a block found for an id, and an id it is connected to."""
+def _compared(coded: DataFrame, index: Index, cosine: float, wide: int) -> DataFrame:
+    """``(id, n, root)``: links that a block found for an id, and an id it is connected to.
+
+    Lists are taken in bundles of ``wide`` lists, together about BLOCK members, and a vector travels
+    once to each bundle it asks a list of, with the lists it asks there. Members and askers of a bundle are cut into
+    blocks by hash, so a crowded list is spread over tasks.
+    """
     spark = coded.sparkSession
     sent = spark.sparkContext.broadcast(index)
-    asks = coded.select(F.explode("asks").alias("list"), "id", "n", "v")
-    members = coded.select("list", "id", "n", "v", "code", "error")
+    members = coded.select(F.floor(F.col("list") / wide).alias("bundle"), "id", "n", "v", "list", "code", "error")
+    asks = coded.select(F.explode("asks").alias("asks"), F.col("list").alias("home"), "id", "n", "v")
+    asks = asks.withColumn("bundle", F.floor(F.element_at("asks", 1) / wide))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        count = df.groupBy("list").agg(F.count("*").alias("rows"))
-        return count.select(F.col("list").alias("of"), F.ceil(F.col("rows") / BLOCK).cast("int").alias(name))
+        count = df.groupBy("bundle").agg(F.count("*").alias("rows"))
+        return count.select(F.col("bundle").alias("of"), F.ceil(F.col("rows") / BLOCK).cast("int").alias(name))
 
     # a row for each list at most, so the table of block counts has a bound
     shape = stored(blocks(members, "m").join(blocks(asks, "q"), "of"), "lists")
@@ -178,30 +215,35 @@ def _compared(coded: DataFrame, index: Index, cosine: float) -> DataFrame:
     def up_to(n: str) -> Column:
         return F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
 
-    members = members.join(shape, F.col("list") == F.col("of")).select(
-        "list", F.pmod(spread, "m").alias("mb"), F.explode(up_to("q")).alias("qb"),
-        F.lit(True).alias("member"), "id", "n", "v", "code", "error",
+    members = members.join(shape, F.col("bundle") == F.col("of")).select(
+        "bundle", F.pmod(spread, "m").alias("mb"), F.explode(up_to("q")).alias("qb"),
+        "list", "id", "n", "v", "code", "error", F.lit(None).cast("array<long>").alias("asks"),
+        F.lit(None).cast("long").alias("home"),
     )
-    asks = asks.join(shape, F.col("list") == F.col("of")).select(
-        "list", F.explode(up_to("m")).alias("mb"), F.pmod(spread, "q").alias("qb"),
-        F.lit(False).alias("member"), "id", "n", "v", F.lit(None).cast("binary").alias("code"),
-        F.lit(None).cast("float").alias("error"),
+    asks = asks.join(shape, F.col("bundle") == F.col("of")).select(
+        "bundle", F.explode(up_to("m")).alias("mb"), F.pmod(spread, "q").alias("qb"),
+        F.lit(None).cast("long").alias("list"), "id", "n", "v", F.lit(None).cast("binary").alias("code"),
+        F.lit(None).cast("float").alias("error"), "asks", "home",
     )
 
     def compare(group: pa.Table) -> pa.Table:
         index = sent.value
-        side = group["member"].to_numpy()
-        of, by = group.filter(pa.array(side)), group.filter(pa.array(~side))
+        side = group["list"].is_valid()
+        # askers of one list ask much the same lists, so they come together
+        of, by = group.filter(side), group.filter(group["list"].is_null()).sort_by("home")
         ids_of, ids_by = of["id"].to_numpy(), by["id"].to_numpy()
-        empty = not len(ids_of) or not len(ids_by)
         a = b = np.zeros(0, np.int32)
-        if not empty:
+        if len(of) and len(by):
             code = np.frombuffer(b"".join(of["code"].to_pylist()), np.uint8).reshape(len(of), -1)
-            centroid = index.centroids[group["list"][0].as_py()]
-            a, b = linked(
-                _units(_matrix(by["v"])), _units(_matrix(of["v"])), code, of["error"].to_numpy(), centroid,
-                index, cosine,
-            )
+            lists, error = of["list"].to_numpy(), of["error"].to_numpy()
+            members, asking = _units(_matrix(of["v"])), _units(_matrix(by["v"]))
+            present, asks = np.unique(lists), by["asks"].combine_chunks()
+            owner = np.repeat(np.arange(len(by)), asks.value_lengths().to_numpy())
+            place = np.searchsorted(present, asks := asks.flatten().to_numpy())
+            held = present[np.minimum(place, len(present) - 1)] == asks
+            asked = np.zeros((len(by), len(present)), bool)
+            asked[owner[held], place[held]] = True
+            a, b = linked(asking, members, code, error, lists, asked, index, cosine)
             other = ids_by[a] != ids_of[b]
             a, b = a[other], b[other]
         names, place = np.unique(np.concatenate([ids_by[a], ids_of[b]]), return_inverse=True)
@@ -209,7 +251,8 @@ def _compared(coded: DataFrame, index: Index, cosine: float) -> DataFrame:
         root = names[_lowest(place[: len(a)], place[len(a) :], len(names))]
         return pa.table({"id": pa.array(names, pa.int64()), "n": links, "root": pa.array(root, pa.int64())})
 
-    return members.unionByName(asks).groupBy("list", "mb", "qb").applyInArrow(compare, "id long, n long, root long")
+    both = members.unionByName(asks)
+    return both.groupBy("bundle", "mb", "qb").applyInArrow(compare, "id long, n long, root long")
 
 
 def near_vectors(
@@ -231,10 +274,11 @@ def near_vectors(
     found = None
     for length, count in sorted(folded.groupBy(F.size("v")).count().collect()):
         own = folded.where(F.size("v") == length)
-        taken = own.orderBy(F.xxhash64("h"), "h", "g").limit(sample).select("v").toArrow()
+        taken = lowest(own, F.xxhash64("h"), ["h", "g"], sample, count).select("v").toArrow()
         index = fit_index(_matrix(taken["v"]), count, cosine)
+        wide = max(1, BLOCK * len(index.centroids) // count)
 
-        def encode(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def encode(batches: Iterator[pa.RecordBatch], index=index, wide=wide) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -242,16 +286,16 @@ def near_vectors(
                 yield pa.RecordBatch.from_arrays(
                     [
                         *batch.columns, pa.array(lists, pa.int64()), pa.array([c.tobytes() for c in code], pa.binary()),
-                        pa.array(error, pa.float32()), pa.array(asks, pa.list_(pa.int64())),
+                        pa.array(error, pa.float32()), _bundled(asks, wide),
                     ],
                     ["id", "n", "v", "list", "code", "error", "asks"],
                 )
 
         kind = dict(own.dtypes)["v"]
         coded = own.select("id", "n", "v").mapInArrow(
-            encode, f"id long, n long, v {kind}, list long, code binary, error float, asks array<long>"
+            encode, f"id long, n long, v {kind}, list long, code binary, error float, asks array<array<long>>"
         )
-        part = _compared(stored(coded, "coded"), index, cosine)
+        part = _compared(stored(coded, "coded"), index, cosine, wide)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = table.sparkSession.createDataFrame([], "id long, n long, root long")

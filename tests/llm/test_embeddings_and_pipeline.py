@@ -3,9 +3,11 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from granary.llm import embeddings
+from granary.llm.common import lowest
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -64,6 +66,18 @@ def test_odd_vectors(spark, vectors):
     assert embeddings.near_vectors(table.where("false")).count() == 0
 
 
+def test_asked_lists_by_bundle():
+    asks = [np.array([0, 1, 5]), np.array([5]), np.array([2, 3, 4, 11])]
+    assert embeddings._bundled(asks, 3).to_pylist() == [[[0, 1], [5]], [[5]], [[2], [3, 4], [11]]]
+
+
+def test_rows_of_lowest_hash(spark):
+    rows = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    for limit in (1, 50, 30_000):
+        expected = [r["id"] for r in rows.orderBy("h").limit(limit).collect()]
+        assert [r["id"] for r in lowest(rows, F.col("h"), ["id"], limit, 20_000).collect()] == expected
+
+
 def test_recall_of_probes():
     rng = np.random.default_rng(11)
     base = rng.normal(size=(4_000, 64))
@@ -78,7 +92,8 @@ def test_recall_of_probes():
     assert np.mean([lists[i] in asks[i] for i in range(len(base))]) > 0.99
     for i in range(0, 200):
         a, b = embeddings.linked(
-            base[i : i + 1], partner[i : i + 1], code[i : i + 1], error[i : i + 1], index.centroids[lists[i]], index, 0.95
+            base[i : i + 1], partner[i : i + 1], code[i : i + 1], error[i : i + 1], lists[i : i + 1],
+            np.array([[True]]), index, 0.95,
         )
         assert len(a) == 1
 
