@@ -1,9 +1,12 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Each token of a window has word and character inputs: how much more often its word, and its
-pieces of three to five characters and its beginnings of four to nine, occur in toxic training texts than in clean ones. Two gated
-recurrent passes read the window, attention pools their states, and a text scores as its most
-toxic window. All overlapping windows of the whole text are scored.
+Each token of a window has a learnt embedding of its word and one of its characters: the largest
+value, by dimension, of the embeddings of its pieces of three to five characters and its beginnings
+of four to nine. Two gated recurrent passes read the window, attention pools their states, and a
+text scores as its most toxic window. A window starts at every word, so all overlapping windows of
+the whole text are scored. Embeddings, passes and attention are trained together by gradients.
+
+A text of n words costs n windows of ``WINDOW`` words; only the words of a text are held whole.
 """
 
 from __future__ import annotations
@@ -21,10 +24,16 @@ from pyspark.sql import functions as F
 from granary.llm.common import CACHE_WORDS, blocks, mixed
 from granary.llm.labelled import labelled_texts
 
-WINDOW, STRIDE = 16, 8
-HIDDEN, INPUTS = 8, 7
+WINDOW, HIDDEN = 8, 8
+#: Dimensions of a word's embedding and of its characters'; a constant is the last input.
+WIDTH = 8
+INPUTS = 2 * WIDTH + 1
 TABLE_BITS = 20
 PIECES, BEGINNINGS = (3, 4, 5), range(4, 10)
+#: Training texts that hold a word or a piece before it has an embedding of its own.
+LEAST_TEXTS = 4
+#: Windows of a toxic training text that count as toxic: about those that hold one of two or three words.
+WORST = 20
 #: Windows that are computed at once.
 CHUNK = 4_096
 _WORD = re.compile(r"\w+")
@@ -33,7 +42,7 @@ _MASK = (1 << TABLE_BITS) - 1
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Log-odds of words and of character pieces, the network's weights, and the calibration."""
+    """Embedding row of each hashed word and piece (0: none), the network with its embeddings, the calibration."""
 
     words: np.ndarray
     pieces: np.ndarray
@@ -80,12 +89,43 @@ def _piece_places(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [*out, (np.concatenate(places), np.concatenate(of))]
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), then the same from first[1], and so on."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _piece_lists(words: list[str], rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words' pieces, or their embedding rows above 0, word by word, and their number by word."""
+    parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), 20_000):
+        part = words[i : i + 20_000]
+        found = _piece_places(part)
+        places = np.concatenate([p for p, _ in found])
+        owner = np.concatenate([o for _, o in found])
+        if rows is not None:
+            places = rows[places]
+            places, owner = places[places > 0], owner[places > 0]
+        parts.append(places[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
+def _largest(pieces: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest embedding values of each word's pieces, at least 0, and the values of all pieces."""
+    values = table[pieces]
+    out = np.zeros((len(sizes), WIDTH), np.float32)
+    some = sizes > 0
+    if len(pieces):
+        out[some] = np.maximum(np.maximum.reduceat(values, (np.cumsum(sizes) - sizes)[some], axis=0), 0)
+    return out, values
+
+
 class _Inputs(dict):
-    """Input rows of words: word evidence; strongest piece of each length and beginning; mean piece; a constant."""
+    """Input rows of words, remembered: the word's embedding, its characters', a constant."""
 
-    def __init__(self, words: np.ndarray, pieces: np.ndarray):
+    def __init__(self, model: ToxicityModel):
         super().__init__()
-        self.words, self.pieces = words, pieces
+        self.model = model
         self.clear()
 
     def clear(self) -> None:
@@ -96,17 +136,10 @@ class _Inputs(dict):
         new = [w for w in words if w not in self]
         if not new:
             return
+        net = self.model.net
         rows = np.ones((len(new), INPUTS), np.float32)
-        rows[:, 0] = self.words[_word_places(new)]
-        total, count = np.zeros(len(new)), np.zeros(len(new), np.int64)
-        for k, (places, owner) in enumerate(_piece_places(new), 1):
-            evidence = self.pieces[places]
-            best = np.full(len(new), -np.inf, np.float32)
-            np.maximum.at(best, owner, evidence)
-            rows[:, k] = np.where(np.isfinite(best), best, 0)
-            total += np.bincount(owner, evidence, len(new))
-            count += np.bincount(owner, minlength=len(new))
-        rows[:, INPUTS - 2] = total / np.maximum(count, 1)
+        rows[:, :WIDTH] = net["words"][self.model.words[_word_places(new)]]
+        rows[:, WIDTH : 2 * WIDTH] = _largest(*_piece_lists(new, self.model.pieces), net["pieces"])[0]
         self.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
         self.rows = np.concatenate([self.rows, rows])
 
@@ -115,33 +148,35 @@ class _Inputs(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def window_table(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows over each text as rows of codes (0 beyond its end), and the text of each window.
+def laid_out(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after the other, starts of their windows, and the text of each window.
 
-    A window starts every STRIDE words until one reaches the end; an empty text has one of padding.
+    A text shorter than a window is filled up with 0, so it has one window, also without words.
     """
-    count = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
-    owner = np.repeat(np.arange(len(lengths)), count)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    at = place[:, None] * STRIDE + np.arange(WINDOW)
-    inside = at < lengths[owner][:, None]
-    starts = np.cumsum(lengths) - lengths
-    padded = np.append(codes, 0)
-    return padded[np.where(inside, starts[owner][:, None] + at, len(codes))], owner
+    size = np.maximum(lengths, WINDOW)
+    line = np.zeros(size.sum(), codes.dtype)
+    line[_ranges(np.cumsum(size) - size, lengths)] = codes
+    count = size - WINDOW + 1
+    return line, _ranges(np.cumsum(size) - size, count), np.repeat(np.arange(len(lengths)), count)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
-def start_net(seed: int = 3) -> dict[str, np.ndarray]:
+def start_net(words: int = 1, pieces: int = 1, seed: int = 3) -> dict[str, np.ndarray]:
+    """Random weights, and that many embeddings of words and of pieces; row 0 stays 0."""
     rng = np.random.default_rng(seed)
     h3 = 3 * HIDDEN
     made = {
         "Wf": (INPUTS, h3), "Wb": (INPUTS, h3), "Uf": (HIDDEN, h3), "Ub": (HIDDEN, h3),
         "v": (2 * HIDDEN,), "u": (2 * HIDDEN,), "b": (1,),
     }
-    return {k: (rng.normal(0, 0.3, s) * (k != "b")).astype(np.float32) for k, s in made.items()}
+    net = {k: (rng.normal(0, 0.3, s) * (k != "b")).astype(np.float32) for k, s in made.items()}
+    for name, n in (("words", words), ("pieces", pieces)):
+        net[name] = rng.normal(0, 0.05, (n, WIDTH)).astype(np.float32)
+        net[name][0] = 0
+    return net
 
 
 def _pass(inputs: list[np.ndarray], U: np.ndarray, kept: list | None) -> list[np.ndarray]:
@@ -168,22 +203,58 @@ def _pool(forward: list, backward: list, net: dict) -> tuple[np.ndarray, np.ndar
     return states, weight, np.einsum("tn,tnh->nh", weight, states)
 
 
-def window_logits(rows: np.ndarray, windows: np.ndarray, net: dict) -> np.ndarray:
-    """Logit of each window of input rows."""
+def _read(line: np.ndarray, U: np.ndarray, looks: np.ndarray, order: list[int], n: int) -> np.ndarray:
+    """One direction over ``n`` neighbouring windows: ``looks`` of its state at each word of a window.
+
+    The first state depends on one word only, so it is computed by word and shared by its windows.
+    """
+    out = np.empty((WINDOW, len(looks), n), np.float32)
+    half = np.float32(0.5)
+    alone = (1 - _sigmoid(line[:HIDDEN])) * np.tanh(line[2 * HIDDEN :])
+    h = alone[:, order[0] : order[0] + n].copy()
+    np.matmul(looks, h, out=out[order[0]])
+    for t in order[1:]:
+        x, g = line[:, t : t + n], U @ h
+        gates = x[: 2 * HIDDEN] + g[: 2 * HIDDEN]
+        gates *= half
+        np.tanh(gates, out=gates)
+        gates *= half
+        gates += half
+        new = g[2 * HIDDEN :]
+        new *= gates[HIDDEN:]
+        new += x[2 * HIDDEN :]
+        np.tanh(new, out=new)
+        h -= new
+        h *= gates[:HIDDEN]
+        h += new
+        np.matmul(looks, h, out=out[t])
+    return out
+
+
+def window_logits(rows: np.ndarray, line: np.ndarray, net: dict) -> np.ndarray:
+    """Logit of the window that starts at each place of a line of codes, where one ends inside it.
+
+    Neighbouring windows share their inputs, so a step of all windows is a shifted view.
+    """
     left, right = rows @ net["Wf"], rows @ net["Wb"]
-    out = np.empty(len(windows), np.float32)
-    for i in range(0, len(windows), CHUNK):
-        part = windows[i : i + CHUNK]
-        steps = [part[:, t] for t in range(WINDOW)]
-        forward = _pass([left[s] for s in steps], net["Uf"], None)
-        backward = _pass([right[s] for s in steps[::-1]], net["Ub"], None)[::-1]
-        out[i : i + CHUNK] = _pool(forward, backward, net)[2] @ net["u"] + net["b"]
+    looks = np.stack([net["v"], net["u"]])
+    ahead, back = np.ascontiguousarray(net["Uf"].T), np.ascontiguousarray(net["Ub"].T)
+    out = np.empty(max(0, len(line) - WINDOW + 1), np.float32)
+    steps = list(range(WINDOW))
+    for i in range(0, len(out), CHUNK):
+        n = min(CHUNK, len(out) - i)
+        part = line[i : i + n + WINDOW - 1]
+        seen = _read(np.ascontiguousarray(left[part].T), ahead, looks[:, :HIDDEN], steps, n)
+        seen += _read(np.ascontiguousarray(right[part].T), back, looks[:, HIDDEN:], steps[::-1], n)
+        weight = np.exp(seen[:, 0] - seen[:, 0].max(axis=0))
+        out[i : i + n] = (weight * seen[:, 1]).sum(axis=0) / weight.sum(axis=0) + net["b"]
     return out
 
 
-def _back(dstates: np.ndarray, inputs: list[np.ndarray], kept: list, U: np.ndarray):
-    """Gradients of one direction's W and U from those of its states, in the pass's order."""
+def _back(dstates: np.ndarray, inputs: list[np.ndarray], kept: list, W: np.ndarray, U: np.ndarray):
+    """Gradients of one direction's W, U and inputs from those of its states, in the pass's order."""
     dU, dW = np.zeros_like(U), 0
+    dinputs: list = [None] * len(kept)
     dh = np.zeros_like(dstates[0])
     for t in range(len(kept) - 1, -1, -1):
         before, keep, reset, new, g = kept[t]
@@ -195,12 +266,13 @@ def _back(dstates: np.ndarray, inputs: list[np.ndarray], kept: list, U: np.ndarr
         dx = np.concatenate([dkeep, dreset, dnew], axis=1)
         dU += before.T @ dg
         dW = dW + inputs[t].T @ dx
+        dinputs[t] = dx @ W.T
         dh = dh * keep + dg @ U.T
-    return dW, dU
+    return dW, dU, dinputs
 
 
-def gradients(x: np.ndarray, y: np.ndarray, weight: np.ndarray, net: dict) -> dict[str, np.ndarray]:
-    """Gradients of the mean weighted log loss over windows ``x`` (windows, WINDOW, INPUTS)."""
+def gradients(x: np.ndarray, y: np.ndarray, net: dict) -> dict[str, np.ndarray]:
+    """Gradients of the mean log loss over windows ``x`` (windows, WINDOW, INPUTS); ``x`` is those of the inputs."""
     inputs = [x[:, t] for t in range(WINDOW)]
     turned = inputs[::-1]
     kept_f: list = []
@@ -208,33 +280,82 @@ def gradients(x: np.ndarray, y: np.ndarray, weight: np.ndarray, net: dict) -> di
     forward = _pass([s @ net["Wf"] for s in inputs], net["Uf"], kept_f)
     backward = _pass([s @ net["Wb"] for s in turned], net["Ub"], kept_b)[::-1]
     states, att, context = _pool(forward, backward, net)
-    d = ((_sigmoid(context @ net["u"] + net["b"]) - y) * weight / len(y)).astype(np.float32)
+    d = ((_sigmoid(context @ net["u"] + net["b"]) - y) / len(y)).astype(np.float32)
     dcontext = d[:, None] * net["u"]
     datt = np.einsum("nh,tnh->tn", dcontext, states)
     de = att * (datt - (att * datt).sum(axis=0))
     dstates = att[:, :, None] * dcontext + de[:, :, None] * net["v"]
-    dWf, dUf = _back(dstates[:, :, :HIDDEN], inputs, kept_f, net["Uf"])
-    dWb, dUb = _back(dstates[::-1, :, HIDDEN:], turned, kept_b, net["Ub"])
+    dWf, dUf, dahead = _back(dstates[:, :, :HIDDEN], inputs, kept_f, net["Wf"], net["Uf"])
+    dWb, dUb, dback = _back(dstates[::-1, :, HIDDEN:], turned, kept_b, net["Wb"], net["Ub"])
     return {
         "Wf": dWf, "Wb": dWb, "Uf": dUf, "Ub": dUb, "u": context.T @ d,
         "v": np.einsum("tn,tnh->h", de, states), "b": d.sum(keepdims=True),
+        "x": np.stack([a + b for a, b in zip(dahead, dback[::-1])], axis=1),
     }
 
 
-def _train(x: np.ndarray, y: np.ndarray, net: dict, steps: int, rng) -> dict:
-    """Adam over batches drawn half from each class."""
+@dataclass
+class _Sample:
+    """Training texts as a line of word codes, and embedding rows of each word and of its pieces by code."""
+
+    line: np.ndarray
+    words: np.ndarray
+    pieces: np.ndarray
+    sizes: np.ndarray
+
+    def __post_init__(self):
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def rows(self, net: dict) -> np.ndarray:
+        """Input rows of all words."""
+        out = np.ones((len(self.words), INPUTS), np.float32)
+        out[:, :WIDTH] = net["words"][self.words]
+        for i in range(0, len(out), 20_000):
+            upto = min(i + 20_000, len(out))
+            places = self.pieces[self.first[i] : self.first[upto - 1] + self.sizes[upto - 1]]
+            out[i:upto, WIDTH : 2 * WIDTH] = _largest(places, self.sizes[i:upto], net["pieces"])[0]
+        out[0] = 0
+        return out
+
+    def gradients(self, starts: np.ndarray, y: np.ndarray, net: dict) -> dict[str, np.ndarray]:
+        """Gradients of weights and embeddings over the windows that start there."""
+        codes, at = np.unique(self.line[starts[:, None] + np.arange(WINDOW)], return_inverse=True)
+        sizes = self.sizes[codes]
+        pieces = self.pieces[_ranges(self.first[codes], sizes)]
+        rows = np.ones((len(codes), INPUTS), np.float32)
+        rows[:, :WIDTH] = net["words"][self.words[codes]]
+        rows[:, WIDTH : 2 * WIDTH], values = _largest(pieces, sizes, net["pieces"])
+        rows[codes == 0] = 0
+        out = gradients(rows[at.reshape(-1, WINDOW)], y, net)
+        flat, dx = at.ravel(), out.pop("x").reshape(-1, INPUTS)
+        drows = np.stack([np.bincount(flat, dx[:, k], len(codes)) for k in range(2 * WIDTH)], axis=1)
+        out["words"] = _added(self.words[codes], drows[:, :WIDTH], len(net["words"]))
+        owner = np.repeat(np.arange(len(codes)), sizes)
+        taken = (values == rows[owner, WIDTH : 2 * WIDTH]) & (values != 0)
+        out["pieces"] = _added(pieces, drows[owner, WIDTH:] * taken, len(net["pieces"]))
+        return out
+
+
+def _added(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by embedding row; row 0 stays as it is."""
+    out = np.stack([np.bincount(rows, values[:, k], n) for k in range(WIDTH)], axis=1).astype(np.float32)
+    out[0] = 0
+    return out
+
+
+def _train(sample: _Sample, starts: np.ndarray, y: np.ndarray, net: dict, steps: int, rng) -> dict:
+    """Adam over batches drawn half from each class; embeddings decay, so what is seen by chance fades."""
     first = {k: np.zeros_like(v) for k, v in net.items()}
     second = {k: np.zeros_like(v) for k, v in net.items()}
     sides = [np.flatnonzero(y == c) for c in (0, 1)]
-    even = np.ones(512, np.float32)
     for step in range(1, steps + 1):
         at = np.concatenate([rng.choice(s, 256) for s in sides])
-        grads = gradients(x[at], y[at], even, net)
-        for k, g in grads.items():
+        for k, g in sample.gradients(starts[at], y[at], net).items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-6)
-            net[k] = (net[k] - np.float32(0.01) * move).astype(np.float32)
+            kept = np.float32(0.998 if k in ("words", "pieces") else 1)
+            net[k] = (kept * net[k] - np.float32(0.01) * move).astype(np.float32)
     return net
 
 
@@ -257,6 +378,7 @@ def _evidence(counts: np.ndarray, totals: np.ndarray, prior: float = 4.0) -> np.
 
 def _calibrate(best: np.ndarray, labels: np.ndarray, toxic_share: float = 0.15) -> tuple[float, float]:
     """Scale and shift of a logistic on each text's worst window, for a share of toxic texts."""
+    best = np.maximum(best, -30)
     scale, shift = 1.0, 0.0
     weight = np.array([1 - toxic_share, toxic_share])[labels]
     weight /= np.maximum(np.bincount(labels, minlength=2), 1)[labels]
@@ -267,73 +389,94 @@ def _calibrate(best: np.ndarray, labels: np.ndarray, toxic_share: float = 0.15)
     return scale, shift
 
 
-def _training_rows(cut: list[list[str]], labels: np.ndarray, folds: int):
-    """The evidence tables of all texts, and each text's input rows under tables without its fold.
-
-    So the network meets evidence that is as reliable as it will be on new texts.
-    """
-    own = [sorted(set(t)) for t in cut]
-    each = [
-        [np.unique(_word_places(w)) for w in own],
-        [np.unique(np.concatenate([p for p, _ in _piece_places(w)])) for w in own],
-    ]
-    fold = np.random.default_rng(7).integers(0, folds, len(cut))
+def _sample(texts: list[str], labels: np.ndarray) -> tuple[_Sample, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """The sample, its windows and their texts, the strongest evidence in each, and rows of hashed words and pieces."""
+    code: dict[str, int] = {}
+    cut = [np.fromiter((code.setdefault(w, len(code) + 1) for w in cut_words(t)), np.int32) for t in texts]
+    vocabulary = list(code)
+    place = _word_places(vocabulary)
+    pieces, sizes = _piece_lists(vocabulary)
+    first = np.cumsum(sizes) - sizes
     totals = np.bincount(labels, minlength=2).astype(np.float64)
-    whole = [_counts(places, labels) for places in each]
-    rows, codes, used = [], [None] * len(cut), 0
-    for f in range(folds):
-        inside = np.flatnonzero(fold == f)
-        rest = np.maximum(totals - np.bincount(labels[inside], minlength=2), 1)
-        tables = [
-            _evidence(all_ - _counts([places[i] for i in inside], labels[inside]), rest)
-            for all_, places in zip(whole, each)
-        ]
-        inputs = _Inputs(*tables)
-        inputs.learn({w for i in inside for w in own[i]})
-        for i in inside:
-            codes[i] = inputs.of(cut[i]) + used
-        rows.append(inputs.rows)
-        used += len(inputs.rows)
-    tables = [_evidence(counts, totals) for counts in whole]
-    return tables, np.concatenate(rows), codes
-
-
-def fit_network(
-    texts: list[str], labels: np.ndarray, rounds: int = 3, steps: int = 200, folds: int = 4
-) -> ToxicityModel:
+    own = [np.unique(c) - 1 for c in cut]
+    evidence, rows = [], []
+    for found in (
+        [np.unique(place[w]) for w in own],
+        [np.unique(pieces[_ranges(first[w], sizes[w])]) for w in own],
+    ):
+        counts = _counts(found, labels)
+        known = counts.sum(axis=0) >= LEAST_TEXTS
+        rows.append(np.where(known, np.cumsum(known), 0).astype(np.int32))
+        evidence.append(np.where(known, _evidence(counts, totals), 0))
+    strongest = evidence[0][place]
+    np.maximum.at(strongest, np.repeat(np.arange(len(place)), sizes), evidence[1][pieces])
+    owner, pieces = np.repeat(np.arange(len(place)), sizes), rows[1][pieces]
+    sizes = np.bincount(owner[pieces > 0], minlength=len(place))
+    lengths = np.array([len(c) for c in cut], np.int64)
+    line, starts, of = laid_out(np.concatenate(cut), lengths)
+    sample = _Sample(line, np.r_[0, rows[0][place]], pieces[pieces > 0], np.r_[0, sizes])
+    weight = np.r_[np.float32(-1), strongest][line]
+    strength = np.lib.stride_tricks.sliding_window_view(weight, WINDOW).max(axis=1)[starts]
+    return sample, starts, of, strength, tuple(rows)
+
+
+def _best(strength: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
+    """Each text's strongest window."""
+    best = np.full(texts, -np.inf)
+    np.maximum.at(best, of, strength)
+    return best
+
+
+def fit_network(texts: list[str], labels: np.ndarray, rounds: int = 4, steps: int = 150) -> ToxicityModel:
     """Train on texts that are toxic or clean as a whole.
 
-    All windows of clean texts are clean. Of a toxic text one window counts: first the one with
-    the strongest single evidence, then, round by round, the one the network finds worst. Clean
-    windows are drawn at random, and from the second round on half of them are those that score
-    highest. With one class only, or no texts, nothing can be told apart: every score is 0.
+    All windows of clean texts are clean. Of a toxic text ``WORST`` windows count: first those with
+    the words or pieces most typical of toxic texts, then, round by round, those the network finds
+    worst. Clean windows are drawn at random, and from the second round on half of them are those
+    that score highest. A fifth of the texts is kept out of that and sets the calibration, if it
+    has ten of each class. With one class only, or no texts, nothing can be told apart: every score is 0.
     """
-    none = np.zeros(_MASK + 1, np.float32)
-    net = start_net()
     if len(set(labels.tolist())) < 2:
-        return ToxicityModel(none, none, net, 0.0, -30.0)
-    cut = [cut_words(t) for t in texts]
-    (words, pieces), rows, codes = _training_rows(cut, labels, folds)
-    del cut
-    lengths = np.array([len(c) for c in codes], np.int64)
-    windows, owner = window_table(np.concatenate(codes).astype(np.int32), lengths)
-    strength = rows[:, :5].max(axis=1)[windows].max(axis=1)
+        none = np.zeros(_MASK + 1, np.int32)
+        return ToxicityModel(none, none, start_net(), 0.0, -30.0)
     rng = np.random.default_rng(5)
-    clean = np.flatnonzero(labels[owner] == 0)
-    toxic = np.flatnonzero(labels[owner] == 1)
+    aside = rng.random(len(labels)) < 0.2
+    if min((labels[aside] == c).sum() for c in (0, 1)) < 10:
+        aside[:] = False
+    taught = np.flatnonzero(~aside)
+    marks = labels[taught]
+    sample, starts, of, strength, (words, pieces) = _sample([texts[i] for i in taught], marks)
+    net = start_net(words.max() + 1, pieces.max() + 1)
+    clean, toxic = np.flatnonzero(marks[of] == 0), np.flatnonzero(marks[of] == 1)
     for turn in range(rounds):
-        order = toxic[np.lexsort((-strength[toxic], owner[toxic]))]
-        worst = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
-        drawn = rng.choice(clean, min(len(clean), 6 * len(worst)), replace=False)
+        order = toxic[np.lexsort((-strength[toxic], of[toxic]))]
+        begins = np.r_[True, of[order][1:] != of[order][:-1]]
+        place = np.arange(len(order)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        worst = order[place < WORST]
+        drawn = rng.choice(clean, min(len(clean), 12 * len(worst)), replace=False)
         if turn:
             drawn = np.concatenate([drawn, clean[np.argsort(-strength[clean])[: len(drawn)]]])
         at = np.concatenate([drawn, worst])
         y = np.r_[np.zeros(len(drawn), np.float32), np.ones(len(worst), np.float32)]
-        net = _train(rows[windows[at]], y, net, steps, rng)
-        strength = window_logits(rows, windows, net)
-    best = np.full(len(labels), -np.inf)
-    np.maximum.at(best, owner, strength)
-    return ToxicityModel(words, pieces, net, *_calibrate(best, labels))
+        net = _train(sample, starts[at], y, net, steps, rng)
+        strength = window_logits(sample.rows(net), sample.line, net)[starts]
+    model = ToxicityModel(words, pieces, net, 1.0, 0.0)
+    best = _best(strength, of, len(taught))
+    if aside.any():
+        marks = labels[aside]
+        best = np.concatenate(list(_worst_windows([texts[i] for i in np.flatnonzero(aside)], _Inputs(model))))
+    return ToxicityModel(words, pieces, net, *_calibrate(best, marks))
+
+
+def _worst_windows(texts: Iterator[str | None], inputs: _Inputs) -> Iterator[np.ndarray]:
+    """Logit of each text's worst window, minus infinity for a text without words, in blocks of texts."""
+    for held, lengths in blocks(texts, lambda t: cut_words(t or "")):
+        if len(inputs) > CACHE_WORDS:
+            inputs.clear()
+        inputs.learn(set().union(*held))
+        line, starts, of = laid_out(np.concatenate([inputs.of(words) for words in held]), lengths)
+        best = _best(window_logits(inputs.rows, line, inputs.model.net)[starts], of, len(lengths))
+        yield np.where(lengths > 0, best, -np.inf)
 
 
 def fit_toxicity(
@@ -352,21 +495,13 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        inputs = _Inputs(model.words, model.pieces)
+        inputs = _Inputs(model)
         for texts in batches:
-            out = []
-            for held, lengths in blocks(texts, lambda t: cut_words(t.as_py() or "")):
-                if len(inputs) > CACHE_WORDS:
-                    inputs.clear()
-                inputs.learn(set().union(*held))
-                codes = np.concatenate([inputs.of(words) for words in held])
-                windows, owner = window_table(codes, lengths)
-                logits = window_logits(inputs.rows, windows, model.net)
-                best = np.full(len(lengths), -np.inf)
-                np.maximum.at(best, owner, logits)
+            out = [np.zeros(0)]
+            for best in _worst_windows((t.as_py() for t in texts), inputs):
                 # single-precision products differ in their last bits with the shape of a batch
-                logit = np.clip(np.round(model.scale * best + model.shift, 4), -30, 30)
-                out.append(np.where(lengths > 0, 1 / (1 + np.exp(-logit)), 0.0))
-            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+                logit = np.clip(np.round(model.scale * np.maximum(best, -1e6) + model.shift, 4), -30, 30)
+                out.append(np.where(np.isfinite(best), 1 / (1 + np.exp(-logit)), 0.0))
+            yield pa.array(np.concatenate(out), pa.float64())
 
     return scored(text)

@@ -85,37 +85,106 @@ def test_sample_is_bounded_and_repeatable(taught):
     assert sum(map(len, short[0])) <= 2_000 and short[0] == one[0][: len(short[0])]
 
 
+def slow_logit(x, net):
+    """Logit of one window of input rows, word by word."""
+    logistic = lambda a: 1 / (1 + np.exp(-a))
+    n = toxicity.HIDDEN
+
+    def states(rows, W, U):
+        h, out = np.zeros(n), []
+        for row in rows:
+            a, g = row @ W, h @ U
+            keep, reset = logistic(a[:n] + g[:n]), logistic(a[n : 2 * n] + g[n : 2 * n])
+            h = keep * h + (1 - keep) * np.tanh(a[2 * n :] + reset * g[2 * n :])
+            out.append(h)
+        return out
+
+    both = zip(states(x, net["Wf"], net["Uf"]), states(x[::-1], net["Wb"], net["Ub"])[::-1])
+    h = np.array([np.concatenate(pair) for pair in both])
+    weight = np.exp(h @ net["v"])
+    return float(weight / weight.sum() @ h @ net["u"] + net["b"][0])
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
-    net = {k: v.astype(np.float64) for k, v in toxicity.start_net().items()}
-    x = rng.normal(size=(5, toxicity.WINDOW, toxicity.INPUTS))
-    y = np.array([0, 1, 1, 0, 1.0])
-    windows = np.arange(5 * toxicity.WINDOW).reshape(5, -1)
+    net = {k: v.astype(np.float64) for k, v in toxicity.start_net(9, 30).items()}
+    # three texts of words 1 to 8 over embeddings 1 to 8 (word 5 has none) and pieces; word 0 is padding
+    sizes = np.array([0, 3, 0, 7, 2, 1, 4, 4, 5])
+    sample = toxicity._Sample(
+        np.r_[rng.integers(1, 9, 20), 0, 0, 0], np.array([0, 1, 2, 3, 4, 0, 6, 7, 8]),
+        rng.integers(1, 30, sizes.sum()), sizes,
+    )
+    net["pieces"][1:] += 0.2
+    starts, y = np.array([0, 3, 9, 12, 15]), np.array([0, 1, 1, 0, 1.0])
 
     def loss(net):
-        steps = [x[:, t] for t in range(toxicity.WINDOW)]
-        ahead = toxicity._pass([s @ net["Wf"] for s in steps], net["Uf"], None)
-        back = toxicity._pass([s @ net["Wb"] for s in steps[::-1]], net["Ub"], None)[::-1]
-        z = toxicity._pool(ahead, back, net)[2] @ net["u"] + net["b"]
-        same = toxicity.window_logits(x.reshape(-1, toxicity.INPUTS), windows, net)
-        assert np.allclose(z, same, atol=1e-5)
+        rows = np.ones((9, toxicity.INPUTS))
+        rows[0] = 0
+        for c in range(1, 9):
+            own = sample.pieces[sizes[:c].sum() : sizes[: c + 1].sum()]
+            rows[c, : toxicity.WIDTH] = net["words"][sample.words[c]]
+            rows[c, toxicity.WIDTH : -1] = np.maximum(net["pieces"][own].max(axis=0), 0) if len(own) else 0
+        z = np.array([slow_logit(rows[sample.line[s : s + toxicity.WINDOW]], net) for s in starts])
         return np.mean(np.log1p(np.exp(z)) - y * z)
 
-    grads = toxicity.gradients(x, y, np.ones(5), net)
+    grads = sample.gradients(starts, y, net)
+    assert set(grads) == set(net)
     for k in net:
-        at = tuple(rng.integers(0, n) for n in net[k].shape)
-        up, down = ({**net, k: net[k].copy()} for _ in range(2))
-        up[k][at] += 1e-3
-        down[k][at] -= 1e-3
-        assert (loss(up) - loss(down)) / 2e-3 == pytest.approx(grads[k][at], abs=1e-6)
+        place = grads[k] != 0
+        for at in rng.permutation(np.argwhere(place))[:4]:
+            up, down = ({**net, k: net[k].copy()} for _ in range(2))
+            up[k][tuple(at)] += 1e-4
+            down[k][tuple(at)] -= 1e-4
+            assert (loss(up) - loss(down)) / 2e-4 == pytest.approx(grads[k][tuple(at)], rel=1e-3, abs=1e-6)
+    assert not grads["words"][0].any() and not grads["pieces"][0].any()
 
 
-@pytest.mark.parametrize("size", [0, 1, 16, 17, 24, 25, 100])
-def test_windows_cover_every_word(size):
-    codes = np.arange(1, size + 1)
-    windows, owner = toxicity.window_table(codes, np.array([size]))
-    assert set(windows.ravel()) - {0} == set(codes.tolist())
-    assert (owner == 0).all() and len(windows) == 1 + max(0, -(-(size - 16) // 8))
+def test_text_scores_are_those_of_single_windows(taught):
+    """Every score again, window by window and word by word, from the model's tables."""
+    docs, labels = taught
+    model = toxicity.fit_toxicity(docs, labels, fold("doc_id", 3) != 1)
+    found = docs.where("doc_id < 40").select("text", toxicity.toxicity_score(F.col("text"), model)).collect()
+    for text, score in found:
+        rows = []
+        for word in toxicity.cut_words(text):
+            places = np.concatenate([p for p, _ in toxicity._piece_places([word])])
+            own = model.net["pieces"][model.pieces[places]]
+            rows.append(np.r_[
+                model.net["words"][model.words[toxicity._word_places([word])[0]]],
+                np.maximum(own.max(axis=0), 0), 1,
+            ])
+        while len(rows) < toxicity.WINDOW:
+            rows.append(np.zeros(toxicity.INPUTS))
+        rows = np.array(rows, np.float64)
+        worst = max(slow_logit(rows[s : s + toxicity.WINDOW], model.net) for s in range(len(rows) - toxicity.WINDOW + 1))
+        assert score == pytest.approx(1 / (1 + np.exp(-(model.scale * worst + model.shift))), abs=2e-3)
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 8, 9, 100])
+def test_a_window_starts_at_every_word(size):
+    lengths = np.array([3, size, 20])
+    codes = np.arange(1, lengths.sum() + 1)
+    line, starts, of = toxicity.laid_out(codes, lengths)
+    own = [line[s : s + toxicity.WINDOW].tolist() for s in starts[of == 1]]
+    text = codes[3 : 3 + size].tolist()
+    text += [0] * (toxicity.WINDOW - size)
+    assert own == [text[s : s + toxicity.WINDOW] for s in range(len(text) - toxicity.WINDOW + 1)]
+
+
+def test_network_beats_its_best_single_word(taught):
+    """A toxic word counts only beside another one, which no word or piece shows by itself."""
+    rng = np.random.default_rng(1)
+    texts, marks = [], []
+    for i in range(600):
+        words = [f"w{k}" for k in rng.integers(0, 50, 60)]
+        toxic = i % 2
+        at = int(rng.integers(0, 20))
+        words[at], words[at + (2 if toxic else 35)] = "alpha", "omega"
+        texts.append(" ".join(words))
+        marks.append(toxic)
+    model = toxicity.fit_network(texts[:450], np.array(marks[:450]))
+    best = np.concatenate(list(toxicity._worst_windows(texts[450:], toxicity._Inputs(model))))
+    assert auc(np.array(marks[450:]), best) > 0.9
 
 
 def test_sample_passes_over_huge_texts(spark):
@@ -141,3 +210,29 @@ def test_sample_is_picked_from_the_rows_there_are(taught):
     kept = docs.where("doc_id % 3 = 0")
     texts, marks = labelled_texts(kept, labels, "toxic", F.lit(True), 20, 10**9)
     assert len(texts) == 40 and marks.sum() == 20
+
+
+def test_quality_scores_are_those_of_single_grams(taught):
+    """Every score again, gram by gram, with hashes and weights looked up one at a time."""
+    import re
+
+    import xxhash
+
+    from granary.llm.common import joined, mixed
+
+    docs, labels = taught
+    model = quality.fit_quality(docs, labels, fold("doc_id", 3) != 1)
+    bits = int(np.log2(len(model.weights)))
+    place = lambda h: int(mixed(np.array([h], np.uint64))[0] >> np.uint64(64 - bits))
+    pair = lambda a, b: joined(np.array([a], np.uint64), np.array([b], np.uint64))[0]
+    for text, score in docs.where("doc_id < 60").select("text", quality.quality_score(F.col("text"), model)).collect():
+        words = re.findall(r"\w+|[^\w\s]+", text)
+        names = [xxhash.xxh64_intdigest(w, 0) for w in words]
+        total = 0.0
+        for i, name in enumerate(names):
+            total += float(model.weights[place(name)])
+            after = names[i + 1] if i + 1 < len(names) else 0
+            again = int(quality._AGAIN)
+            total += float(model.weights[place(pair(again if after == name else name, again if after == name else after))])
+        logit = total / max(len(words), 1) ** 0.5 + model.bias
+        assert score == pytest.approx(1 / (1 + np.exp(-np.clip(logit, -30, 30))), abs=1e-6)
