@@ -117,6 +117,16 @@ def test_similar_documents_of_odd_rows(odd_docs, no_docs):
     assert similar.one_of_each(no_docs, similar.similar_documents(no_docs)).count() == 0
 
 
+def test_columns_of_any_name_stay(odd_docs):
+    clashing = ["kept_key", "row_of_key", "own_key", "place", "doc", "turn", "component_id", "mark", "id", "list"]
+    odd_docs = odd_docs.select("doc_id", "text")
+    docs = odd_docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(clashing)])
+    kept = similar.one_of_each(docs, similar.similar_documents(docs))
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert len(rows) == 8 and all([r[c] for c in clashing] == list(range(len(clashing))) for r in rows)
+
+
 def jaccard(a, b):
     a, b = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
     return len(a & b) / len(a | b)
