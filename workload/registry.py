@@ -41,8 +41,11 @@ class Tables:
         return self.events.select("ts", "event_type", raised.alias("value"))
 
     def quiet_days(self) -> DataFrame:
-        """Rare, large events: many days have none."""
-        return self.events.where("event_type = 'error' and value > 200")
+        """All events, those of weekends moved to the Friday before but for rare, large ones: days with few or none."""
+        after = F.dayofweek("ts") % 7  # 0 on Saturday, 1 on Sunday
+        moved = (after < 2) & ~F.expr("event_type = 'error' and value > 200")
+        at = F.when(moved, F.col("ts") - F.make_dt_interval(after + 1)).otherwise(F.col("ts"))
+        return self.events.withColumn("ts", at)
 
     def measured_text(self) -> DataFrame:
         """part with prices, ratings and heights written as text."""
@@ -71,7 +74,8 @@ SPIKED = (
     "(select ts, event_type, case when cast(ts as date) = date '2024-01-17' then value * 20 "
     "else value end as value from events)"
 )
-QUIET = "(select * from events where event_type = 'error' and value > 200)"
+QUIET = """(select * replace (case when dayofweek(ts) in (0, 6) and not (event_type = 'error' and value > 200)
+  then ts - to_days(case when dayofweek(ts) = 6 then 1 else 2 end) else ts end as ts) from events)"""
 TEXTS = (
     "(select p_partkey, concat('€', cast(cast(round(p_retailprice) as int) as varchar), 'K') as price, "
     "concat(cast(p_size as varchar), '+2') as rating, "
