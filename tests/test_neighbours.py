@@ -165,3 +165,26 @@ def test_hashed_neighbours_with_all_probes_are_exact(spark, frame, points):
     assert few.count() == len(points) - 200
     none = nb.knn_predict(train.limit(0), test, 5, method="hashed")
     assert none.count() == 0
+
+
+def test_a_vector_travels_once_to_a_bundle_of_cells(spark, frame, monkeypatch):
+    monkeypatch.setattr(nb, "BLOCK", 300)
+    monkeypatch.setattr(nb, "_SLAB", 2_000)  # a few visits a batch
+    x = np.random.default_rng(5).normal(size=(900, 16))
+    rows = table(spark, frame, x).selectExpr("cast(id as string) as key", "features as vec")
+    points, cells = nb._cell_points(rows)
+    visits = nb._visits(points, cells, lambda pdf, d: np.ones(d.shape, bool))
+    assert cells.bundles <= 5 and len(cells.pivots) == 30
+    assert visits.count() == visits.distinct().count() == 900 * cells.bundles
+    found = nb.knn_predict(table(spark, frame, x, label=np.arange(900.0)), table(spark, frame, x), 1)
+    assert found.where("prediction = id").count() == 900
+
+
+def test_first_places_as_a_full_sort_gives_them():
+    rng = np.random.default_rng(6)
+    d, labels = rng.integers(0, 6, (50, 40)).astype(float), rng.integers(0, 3, 40).astype(float)
+    for take in (1, 5, 40):
+        order = np.lexsort((np.broadcast_to(labels, d.shape), d), axis=1)[:, :take]
+        found = nb._first(d, labels, take)
+        assert (np.take_along_axis(d, found, 1) == np.take_along_axis(d, order, 1)).all()
+        assert (labels[found] == labels[order]).all()
