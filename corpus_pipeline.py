@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, mixing, quality, similar, toxicity
+from granary.llm import decontaminate, mixing, quality, simhash, similar, toxicity
 from granary.llm.common import fold, stored
 
 #: Documents stay with at least this quality, and below this toxicity.
@@ -29,7 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are similar to 0.8 or more."""
+    """One document of each group of near fingerprints (SimHash, two bits at most), and of those one of
+    each group whose five-word shingles are similar to 0.8 or more."""
+    prints = simhash.near_duplicates(docs).select("doc_id", "component_id")
+    docs = stored(similar.one_of_each(docs, prints), "apart")
     return similar.one_of_each(docs, similar.similar_documents(docs))
 
 

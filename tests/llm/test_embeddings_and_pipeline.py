@@ -145,3 +145,13 @@ def test_pipeline_keeps_and_drops(spark):
 
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "decontamination", "mixing"]
+
+
+def test_near_fingerprints_are_dropped_by_the_pipeline(spark):
+    refrain = "over the hills and far away " * 80
+    tails = [" ".join(f"{c}{i}" for i in range(12)) for c in "ab"]
+    other = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, refrain + tails[0]), (2, refrain + tails[1]), (3, other), (4, other.replace("word7 ", "new "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
