@@ -176,3 +176,19 @@ def test_training_errors(blobs, outcomes):
         training.train(outcomes, "nope")
     with pytest.raises(ValidationError, match="No target"):
         training.train(blobs, task="regression")
+
+
+def test_training_rows_are_dealt_by_their_number(houses, blobs, monkeypatch):
+    parts = []
+
+    def zoo(kept, at):
+        def run(df, *rest, **named):
+            parts.append(df.rdd.getNumPartitions())
+            return kept(df, *rest, **named)
+        monkeypatch.setattr(training, at, run)
+
+    zoo(training.train_zoo, "train_zoo")
+    zoo(training.cluster_zoo, "cluster_zoo")
+    training.train(houses, models=["linear"], cross_validate=False)
+    training.train(blobs, task="clustering", k_range=(2, 2), eps_values=(1.0,))
+    assert parts == [1, 1]
