@@ -11,11 +11,11 @@ from granary.errors import ProcessingError, ValidationError
 from granary.functions.kinds import NUMERIC, drop_null_rows, kinds, resolve
 from granary.operators.clean import coerce_numeric_columns, drop_outliers
 from granary.operators.features import Derived, build_features, prepare_features, propose_features
-from granary.operators.models import TUNABLE, Search, cv_score, tune
+from granary.operators.models import TUNABLE, Search, cv_score, dealt_folds, tune
 from granary.operators.profiling import class_balance, missing_counts
 from granary.operators.query import sample_rows
 from granary.plans.advice import screen_features
-from granary.session import local_frame, reused
+from granary.session import local_frame
 
 EVAL_FOLDS = 3
 MAX_ROW_LOSS = 0.25
@@ -73,11 +73,13 @@ def recipe_score(
     except (ValidationError, ProcessingError):
         return None, None
     best: tuple[float | None, str | None] = (None, None)
-    with reused(ready) as rows:
+    with dealt_folds(ready, task, EVAL_FOLDS) as folded:
+        if folded is None:
+            return None, None
         for name, params in candidates or CANDIDATES[task]:
             try:
                 scored = cv_score(
-                    name, rows, task, EVAL_FOLDS, current.balances, params=params
+                    name, folded, task, EVAL_FOLDS, current.balances, params=params
                 )
             except Exception:  # noqa: BLE001 - a model that cannot be fitted is left out
                 continue

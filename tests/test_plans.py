@@ -192,3 +192,17 @@ def test_training_rows_are_dealt_by_their_number(houses, blobs, monkeypatch):
     training.train(houses, models=["linear"], cross_validate=False)
     training.train(blobs, task="clustering", k_range=(2, 2), eps_values=(1.0,))
     assert parts == [1, 1]
+
+
+def test_recipes_deal_the_folds_once_for_all_models(frame, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = frame("x double, y double", x=rng.normal(size=90), y=rng.normal(size=90))
+    seen = []
+
+    def score(name, rows, *rest, **named):
+        seen.append((rows.rdd.getNumPartitions(), "__fold" in rows.columns))
+        return 0.5, 0.0
+
+    monkeypatch.setattr(improve, "cv_score", score)
+    found = improve.recipe_score(df, "y", "regression", ["x"], improve.Current(), (("ridge", None), ("linear", None)))
+    assert found == (0.5, "ridge") and seen == [(1, True)] * 2
