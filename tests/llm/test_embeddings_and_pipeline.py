@@ -148,7 +148,7 @@ def test_stages():
 
 
 def test_near_fingerprints_are_dropped_by_the_pipeline(spark):
-    refrain = "over the hills and far away " * 80
+    refrain = "over hills and far away " * 80  # five shingles, so no bit is tied
     tails = [" ".join(f"{c}{i}" for i in range(12)) for c in "ab"]
     other = " ".join(f"word{i}" for i in range(300))
     rows = [(1, refrain + tails[0]), (2, refrain + tails[1]), (3, other), (4, other.replace("word7 ", "new "))]
