@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordHashes, blocks, joined, lowered, mixed, stored, utf8, work_path
+from granary.llm.common import CACHE_WORDS, WordHashes, blocks, joined, lowered, mixed, stored, utf8, work_path
 from granary.llm.mixing import word_count
 
 #: The token at the end of each text, and the history before its first word; no word has a space.
@@ -44,6 +44,12 @@ BROADCAST_BYTES = 160 << 20
 HEAD_WORDS = 1_000_000
 #: N-grams that a task counts before it passes partial counts on.
 COUNT_TOKENS = 1_800_000
+#: Keys that are entered into a filter at once.
+BUILT_KEYS = 100_000
+#: Keys that are looked up at once, and bytes of texts (or one text) that are scored at once.
+PROBED_KEYS, SCORED_BYTES = 200_000, 2_000_000
+#: Keys found missing are put aside when fewer than this share is left, and after a level's last probe.
+FEW_LEFT = 0.8
 _BASE = 1.15
 
 
@@ -98,35 +104,41 @@ def histories(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.nda
     return out
 
 
-def _places(keys: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.ndarray:
+def _first_step(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's probes of a level lie at the first, and on by steps, modulo the number of bits."""
     first = mixed(keys ^ np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
-    step = (first >> np.uint64(32)) | np.uint64(1)
-    return (first + np.uint64(probe) * step) % size
-
-
-def _byte_bit(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (place >> np.uint64(3)).astype(np.int64), (place & np.uint64(7)).astype(np.uint8)
+    return first, (first >> np.uint64(32)) | np.uint64(1)
 
 
 def built(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A shard that holds each key under the levels 1 to that of its count."""
-    levels = np.searchsorted(LEVELS, counts, side="right")
-    bits = np.zeros(int(levels.sum() * BITS / 8) + 8, np.uint8)
-    size = np.uint64(len(bits) * 8)
-    at, level = np.arange(len(keys)), 1
-    while len(at):
-        for probe in range(PROBES):
-            byte, bit = _byte_bit(_places(keys[at], level, probe, size))
-            np.bitwise_or.at(bits, byte, np.left_shift(np.uint8(1), bit))
+    levels = np.searchsorted(LEVELS, counts, side="right").astype(np.uint16)
+    flags = np.zeros(int(levels.sum(dtype=np.int64) * BITS / 8) * 8 + 64, bool)
+    size, level = np.uint64(len(flags)), 1
+    while len(keys):
+        for begin in range(0, len(keys), BUILT_KEYS):
+            place, step = _first_step(keys[begin : begin + BUILT_KEYS], level)
+            for _ in range(PROBES):
+                flags[(place % size).view(np.int64)] = True
+                place += step
         level += 1
-        at = at[levels[at] >= level]
-    return bits.tobytes()
+        more = levels >= level
+        keys, levels = keys[more], levels[more]
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
+def _shard_order(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shards of the keys in ascending order, and the keys' places in that order."""
+    shard = shard_of(keys, shards)
+    shard = shard.astype(np.uint16) if shards <= 1 << 16 else shard  # short numbers are sorted by digits
+    order = np.argsort(shard, kind="stable")
+    return shard[order], order
+
+
 @dataclass(frozen=True)
 class Filter:
     """Bytes that hold all shards, and where each shard begins and how many bits it has."""
@@ -142,22 +154,35 @@ class Filter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts read back: repeated membership probes, level by level, until one is missing."""
-        shard = shard_of(keys, len(self.size))
-        begin, size = self.begin[shard], self.size[shard]
+        parts = [self._levels(keys[k : k + PROBED_KEYS]) for k in range(0, len(keys), PROBED_KEYS)]
+        return MIDDLE[np.concatenate(parts)] if parts else np.zeros(0)
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
+        shard, at = _shard_order(keys, len(self.size))
+        keys, begin, size = keys[at], self.begin[shard], self.size[shard]
         found = np.zeros(len(keys), np.int64)
-        at, level = np.arange(len(keys)), 1
+        level = 1
         while len(at) and level <= len(LEVELS):
-            for probe in range(PROBES):
-                byte, bit = _byte_bit(_places(keys[at], level, probe, size[at]))
-                at = at[(self.bits[begin[at] + byte] >> bit & 1).astype(bool)]
+            place, step = _first_step(keys, level)
+            there = np.ones(len(at), bool)
+            for probe in range(1, PROBES + 1):
+                bit = place % size
+                byte = self.bits.take(begin + (bit >> np.uint64(3)).view(np.int64))
+                there &= (byte >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1)).view(bool)
+                live = np.count_nonzero(there)
+                if live < len(at) * (FEW_LEFT if probe < PROBES else 1):
+                    left = np.flatnonzero(there)
+                    at, keys, begin, size = (values.take(left) for values in (at, keys, begin, size))
+                    place, step, there = place.take(left), step.take(left), np.ones(live, bool)
+                place += step
             found[at] = level
             level += 1
-        return MIDDLE[found]
+        return found
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys in order, and the sums of their values."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return [keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)]
@@ -169,53 +194,80 @@ def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _by_shard(keys: np.ndarray, shards: int, *values: np.ndarray) -> Iterator[tuple]:
-    shard = shard_of(keys, shards)
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    shard, order = _shard_order(keys, shards)
+    bounds = np.searchsorted(shard, np.arange(shards + 1))
     for p in np.flatnonzero(np.diff(bounds)):
         own = order[bounds[p] : bounds[p + 1]]
         yield (int(p), keys[own], *(v[own] for v in values))
 
 
+def counted(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """By length, 1 to ``order``: keys of the distinct n-grams, keys of their histories, and counts.
+
+    An n-gram is known by the number of its first word, 0 for the start sign, and that of the
+    shorter n-gram after it, so keys are made for distinct n-grams only. Those of one history lie side by
+    side; n-grams of one word have no history and get their own key.
+    """
+    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    distinct, back, counts = np.unique(words, return_inverse=True, return_counts=True)
+    word, own = np.concatenate([[_START], distinct]), back + 1
+    keys = mixed(distinct)
+    yield keys, keys, counts
+    parts = [np.arange(1, len(word))]  # numbers of the words of each distinct n-gram
+    for n in range(1, order):
+        before = np.zeros(len(own), np.int64)
+        before[n:] = own[:-n]
+        before[place < n] = 0
+        pairs = before << 32 | back
+        if n + 1 < order:
+            pairs, back, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        else:
+            pairs, counts = np.unique(pairs, return_counts=True)
+        first, rest = pairs >> 32, pairs & (1 << 32) - 1
+        keys, parts = joined(word[first], keys[rest]), [first, *(p[rest] for p in parts)]
+        past = mixed(word[parts[-2]])
+        for part in parts[-3::-1]:
+            past = joined(word[part], past)
+        yield keys, past, counts
+
+
 def _partials(order: int, shards: int) -> Callable:
     """Distinct n-grams of a task with their histories and counts, packed by shard and length."""
 
+    def packed(words: list[np.ndarray], lengths: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for n, (keys, past, counts) in enumerate(counted(np.concatenate(words), np.concatenate(lengths), order), 1):
+            yield _packed(
+                [
+                    (p, n, own.tobytes(), before.tobytes() if n > 1 else b"", number.tobytes())
+                    for p, own, before, number in _by_shard(keys, shards, past, counts.astype(np.uint32))
+                ],
+                ["shard", "n", "keys", "past", "a"],
+            )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(1)
-        held: list[tuple[list, list]] = []
+        words: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         size = 0
-
-        def packed() -> pa.RecordBatch:
-            rows = []
-            for n in range(order):
-                keys = np.concatenate([h[0][n] for h in held])
-                past = np.concatenate([h[1][n - 1] for h in held]) if n else keys
-                keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-                past = past[first]
-                if n:  # equal histories side by side are compressed away
-                    order_of = np.argsort(past, kind="stable")
-                    keys, past, counts = keys[order_of], past[order_of], counts[order_of]
-                for p, own, before, number in _by_shard(keys, shards, past, counts.astype(np.uint32)):
-                    rows.append((p, n + 1, own.tobytes(), before.tobytes() if n else b"", number.tobytes()))
-            return _packed(rows, ["shard", "n", "keys", "past", "a"])
-
         for batch in batches:
-            for texts, lengths in blocks(utf8(batch.column(0)), lambda t: [*lowered(t), END]):
-                words = np.concatenate([hashes.of(t) for t in texts])
-                held.append((grams(words, lengths, order), histories(words, lengths, order) if order > 1 else []))
-                size += len(words)
+            for texts, own in blocks(utf8(batch.column(0)), lambda t: hashes.of([*lowered(t), END])):
+                words += texts
+                lengths.append(own)
+                size += int(own.sum())
                 if size >= COUNT_TOKENS:
-                    yield packed()
-                    held.clear()
-                    size = 0
-        if held:
-            yield packed()
+                    yield from packed(words, lengths)
+                    words, lengths, size = [], [], 0
+        if size:
+            yield from packed(words, lengths)
 
     return count
 
 
-def _joined(group: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(group[name].to_pylist()), kind)
+def _joined(group: pa.Table, name: str, kind, rows: np.ndarray | None = None) -> np.ndarray:
+    """The numbers that a column's rows hold, by default all rows, end to end; they are copied once."""
+    column = group[name]
+    rows = range(len(column)) if rows is None else rows.tolist()
+    return np.concatenate([np.frombuffer(column[k].as_buffer(), kind) for k in rows])
 
 
 _SHARD = "kind long, shard long, keys binary, a binary, b binary"
@@ -228,12 +280,13 @@ def _shard_made(shards: int) -> Callable:
     def make(group: pa.Table) -> pa.Table:
         shard = group["shard"][0].as_py()
         all_keys, all_counts, rows = [], [], []
-        for n in sorted(set(group["n"].to_pylist())):
-            own = group.filter(pa.array([x == n for x in group["n"].to_pylist()]))
-            keys, counts = _joined(own, "keys", np.uint64), _joined(own, "a", np.uint32).astype(np.int64)
+        length = group["n"].to_numpy()
+        for n in np.unique(length):
+            own = np.flatnonzero(length == n)
+            keys, counts = _joined(group, "keys", np.uint64, own), _joined(group, "a", np.uint32, own).astype(np.int64)
             if n > 1:
-                past = _joined(own, "past", np.uint64)
-                order = np.argsort(keys, kind="stable")
+                past = _joined(group, "past", np.uint64, own)
+                order = np.argsort(keys)
                 keys, counts, past = keys[order], counts[order], past[order]
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
                 keys, counts, past = keys[first], np.add.reduceat(counts, first), past[first]
@@ -326,30 +379,74 @@ def _logs(read: list[np.ndarray], order: int, tokens: int, distinct: int) -> np.
     return np.log10(np.minimum(p, 1))
 
 
-def _read(asked: list[tuple[int, np.ndarray]], count: Callable[[int, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+def _read(keys: np.ndarray, count: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Counts for all keys; equal keys are probed once."""
-    out = []
-    for kind, keys in asked:
-        distinct, back = np.unique(keys, return_inverse=True)
-        out.append(count(kind, distinct)[back])
-    return out
+    distinct, back = np.unique(keys, return_inverse=True)
+    return count(distinct)[back]
+
+
+class _Words(dict):
+    """Numbers of words, from 1 on, and columns of what is read of a word alone: once, while it is kept.
+
+    ``read`` gives the columns for words by their XXH64, the count first; 0 is the start sign. Of more
+    than CACHE_WORDS words those of the highest counts stay, half as many at most, under new numbers.
+    """
+
+    def __init__(self, read: Callable[[np.ndarray], list[np.ndarray]]):
+        super().__init__()
+        self.read, self.new, self.columns = read, [int(_START)], None
+
+    def __missing__(self, word) -> int:
+        self.new.append(xxhash.xxh64_intdigest(word, 1))
+        number = self[word] = len(self) + 1
+        return number
+
+    def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Numbers of each text's words and its end."""
+        if len(self) > CACHE_WORDS:
+            self._thin()
+        out = []
+        for raw in texts:
+            words = [*lowered(raw), END]
+            out.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        return out
+
+    def _thin(self) -> None:
+        columns, most = self.table(), CACHE_WORDS // 2
+        count = columns[0][1:]
+        kept = np.flatnonzero(count > np.partition(count, len(count) - most - 1)[len(count) - most - 1]) + 1
+        words = list(self)  # in the order of their numbers
+        self.clear()
+        self.update((words[old - 1], new) for new, old in enumerate(kept.tolist(), 1))
+        self.columns = [c[np.concatenate([[0], kept])] for c in columns]
+
+    def table(self) -> list[np.ndarray]:
+        """The columns, by number."""
+        if self.new:
+            added, self.new = self.read(np.array(self.new, np.uint64)), []
+            old = self.columns
+            self.columns = added if old is None else [np.concatenate(pair) for pair in zip(old, added)]
+        return self.columns
 
 
 _SCORED = "struct<n_tokens: bigint, n_known: bigint, logs: double, score: double, rare: array<bigint>>"
 
 
-def _scored(lengths: np.ndarray, words: np.ndarray, logs: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> list[tuple]:
+def _in_head(keys: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word is a head word, and the log of its count and one; 0 for others."""
+    known, counts = (values[:-1] for values in head)
+    at = np.searchsorted(known, keys)
+    inside = np.zeros(len(keys), bool)
+    ok = at < len(known)
+    inside[ok] = known[at[ok]] == keys[ok]
+    log = np.zeros(len(keys))
+    log[inside] = np.log10(counts[at[inside]] + 1)
+    return inside, log
+
+
+def _scored(lengths: np.ndarray, words: np.ndarray, logs: np.ndarray, inside: np.ndarray, log: np.ndarray) -> list[tuple]:
     """Per text: tokens, known words and log counts among the head words, score, and other words."""
-    keys, counts = (values[:-1] for values in head)
     words = mixed(words)  # as n-grams of one word are counted
-    distinct, back = np.unique(words, return_inverse=True)
-    at = np.searchsorted(keys, distinct)
-    inside = np.zeros(len(distinct), bool)
-    ok = at < len(keys)
-    inside[ok] = keys[at[ok]] == distinct[ok]
-    log = np.zeros(len(distinct))
-    log[inside] = np.log10(counts[at[inside]] + 1)
-    inside, log = inside[back], log[back]
     rows, end = [], 0
     for n in lengths:
         own = slice(end, end := end + int(n))
@@ -358,6 +455,41 @@ def _scored(lengths: np.ndarray, words: np.ndarray, logs: np.ndarray, head: tupl
     return rows
 
 
+def _scorer(
+    filters: dict[int, Filter], head: tuple[np.ndarray, np.ndarray], order: int, tokens: int, distinct: int
+) -> Callable[[pa.Array], pa.StructArray]:
+    """Scores texts by the filter; what is read of a word alone is kept with the word."""
+
+    def read(hashes: np.ndarray) -> list[np.ndarray]:
+        keys = mixed(hashes)
+        past = [filters[_PAST].counts(keys ^ sign) for sign in (_FOLLOWERS, _TOTAL)] if order > 1 else []
+        return [filters[_GRAM].counts(keys), *past, hashes, *_in_head(keys, head)]
+
+    known = _Words(read)
+
+    def score_texts(texts: pa.Array) -> pa.StructArray:
+        rows = []
+        for cut, _ in blocks(utf8(texts), lambda t: t, SCORED_BYTES):
+            numbers = known.numbers(cut)
+            lengths = np.array([len(n) for n in numbers], np.int64)
+            own = np.concatenate(numbers)
+            *alone, hashes, inside, log = known.table()
+            words = hashes[own]
+            asked = _needed(words, lengths, order)
+            before = np.roll(own, 1)
+            before[np.cumsum(lengths) - lengths] = 0
+            read = [None] * len(asked)
+            for k, at, values in zip((0, order, order + 1), (own, before, before), alone):
+                read[k] = values[at]
+            for k, (kind, keys) in enumerate(asked):
+                if read[k] is None:
+                    read[k] = _read(keys, filters[kind].counts)
+            rows += _scored(lengths, words, _logs(read, order, tokens, distinct), inside[own], log[own])
+        return _struct(rows)
+
+    return score_texts
+
+
 def _struct(rows: list[tuple]) -> pa.StructArray:
     rare = [r[4] for r in rows]
     offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
@@ -469,15 +601,11 @@ def score(
 
         @F.arrow_udf(_SCORED)
         def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            bits, top, hashes = sent.array(), tuple(h.array() for h in head), WordHashes(1)
+            bits, top = sent.array(), tuple(h.array() for h in head)
             filters = {kind: Filter.of(bits, *at) for kind, at in places.items()}
+            score_texts = _scorer(filters, top, *sizes)
             for texts in batches:
-                rows = []
-                for cut, lengths in blocks(utf8(texts), lambda t: [*lowered(t), END]):
-                    words = np.concatenate([hashes.of(t) for t in cut])
-                    read = _read(_needed(words, lengths, sizes[0]), lambda kind, k: filters[kind].counts(k))
-                    rows += _scored(lengths, words, _logs(read, *sizes), top)
-                yield _struct(rows)
+                yield score_texts(texts)
 
         found = docs.select("own", scored("text").alias("s"))
     else:
@@ -555,10 +683,9 @@ def _scored_by_shard(docs: DataFrame, model: LanguageModel, head: tuple[_Sent, _
                 order = np.argsort(keys)
                 table[kind] = keys[order], np.frombuffer(b"".join(p["a"] for p in own), np.float64)[order]
             lengths = np.array([len(words)])
-            read = _read(
-                _needed(words, lengths, sizes[0]), lambda kind, k: table[kind][1][np.searchsorted(table[kind][0], k)]
-            )
-            rows += _scored(lengths, words, _logs(read, *sizes), top)
+            asked = _needed(words, lengths, sizes[0])
+            read = [table[kind][1][np.searchsorted(table[kind][0], keys)] for kind, keys in asked]
+            rows += _scored(lengths, words, _logs(read, *sizes), *_in_head(mixed(words), top))
         return _struct(rows)
 
     return both.select("own", scored("text", "read").alias("s"))

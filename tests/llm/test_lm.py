@@ -1,13 +1,15 @@
 import math
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import lm
-from granary.llm.common import fold
+from granary.llm.common import WordHashes, fold
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -127,3 +129,66 @@ def test_held_out_text_like_the_corpus_scores_higher(spark):
     asked = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "mat the on sat cat the")], "doc_id long, text string")
     found = {r["doc_id"]: r["score"] for r in lm.score(asked, model).orderBy(F.col("doc_id")).collect()}
     assert found[1] > found[2]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_distinct_ngrams_are_those_of_all_positions(order):
+    texts = [[], [b"a"], [b"a", b"b", b"a", b"b", b"a"], [b"b"] * 7, [b"c", b"a", b"b"], []]
+    hashes = WordHashes(1)
+    words = np.concatenate([hashes.of([*t, lm.END]) for t in texts])
+    lengths = np.array([len(t) + 1 for t in texts])
+    every, pasts = lm.grams(words, lengths, order), lm.histories(words, lengths, order) if order > 1 else []
+    for n, (keys, past, counts) in enumerate(lm.counted(words, lengths, order)):
+        assert len(set(keys.tolist())) == len(keys)
+        expected = Counter(zip(every[n].tolist(), (pasts[n - 1] if n else every[0]).tolist()))
+        assert dict(zip(zip(keys.tolist(), past.tolist()), counts.tolist())) == expected
+
+
+def small_filter(words, order=2):
+    bits = {lm._GRAM: [], lm._PAST: []}
+    for n, (keys, past, counts) in enumerate(lm.counted(words, np.array([len(words)]), order)):
+        bits[lm._GRAM].append((keys, counts))
+        if n:
+            past, followers, total = lm._summed(past, np.ones(len(past), np.int64), counts)
+            bits[lm._PAST] += [(past ^ lm._FOLLOWERS, followers), (past ^ lm._TOTAL, total)]
+    made = {}
+    for kind, parts in bits.items():
+        held = np.frombuffer(lm.built(*(np.concatenate(c) for c in zip(*parts))), np.uint8)
+        made[kind] = lm.Filter.of(held, np.zeros(1, np.int64), np.array([len(held)]))
+    return made
+
+
+def test_what_is_read_of_a_word_alone_is_read_once(monkeypatch):
+    """Frequent words lie at high levels, so asking for them again in each block was most of the work."""
+    common = [f"c{i}" for i in range(50)]
+    texts = pa.array([" ".join([*common, f"r{i}", *common]) for i in range(400)])
+    words = WordHashes(1).of([w for t in texts.to_pylist() for w in [*t.encode().split(), lm.END]])
+    filters, head = small_filter(words), (np.zeros(1, np.uint64), np.zeros(1))
+    probed = []
+    counts = lm.Filter.counts
+    monkeypatch.setattr(lm.Filter, "counts", lambda self, keys: probed.append(len(keys)) or counts(self, keys))
+
+    def scores(asked, **limits):
+        probed.clear()
+        for name, value in limits.items():
+            monkeypatch.setattr(lm, name, value)
+        found = lm._scorer(filters, head, 2, len(words), 452)(asked)
+        return found.field("score").to_numpy(), sum(probed)
+
+    whole, _ = scores(texts)
+    # without keeping, each of 400 blocks reads 52 words three times, and 102 word pairs
+    by_text, asked = scores(texts, SCORED_BYTES=1)
+    assert (by_text == whole).all() and asked < 400 * (3 + 102) + 3 * 60
+    thinned, asked = scores(texts, CACHE_WORDS=120)
+    assert (thinned == whole).all() and asked < 400 * (3 + 102) + 3 * 60
+
+
+def test_a_shard_is_built_in_little_memory():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 63, 1_000_000).astype(np.uint64)
+    counts = np.ones(len(keys), np.int64)
+    tracemalloc.start()
+    bits = lm.built(keys, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(bits) >= 1_250_000 and peak < 40e6
