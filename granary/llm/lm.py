@@ -360,10 +360,13 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, shard_tokens: int
     return LanguageModel(order, tokens, words.count(), shards, filter_bytes, bits, words)
 
 
-def _needed(words: np.ndarray, lengths: np.ndarray, order: int) -> list[tuple[int, np.ndarray]]:
-    """Kind and keys of all that the tokens' probabilities read, in the order ``_logs`` takes."""
-    asked = [(_GRAM, g) for g in grams(words, lengths, order)]
-    for h in histories(words, lengths, order) if order > 1 else []:
+def _needed(words: np.ndarray, lengths: np.ndarray, order: int, least: int = 1) -> list[tuple[int, np.ndarray]]:
+    """Kind and keys of all that the tokens' probabilities read, in the order ``_logs`` takes.
+
+    Only n-grams and histories of at least ``least`` words.
+    """
+    asked = [(_GRAM, g) for g in grams(words, lengths, order)[least - 1 :]]
+    for h in histories(words, lengths, order)[least - 1 :] if order > least else []:
         asked += [(_PAST, h ^ _FOLLOWERS), (_PAST, h ^ _TOTAL)]
     return asked
 
@@ -446,12 +449,11 @@ def _in_head(keys: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> tuple[np.
 
 def _scored(lengths: np.ndarray, words: np.ndarray, logs: np.ndarray, inside: np.ndarray, log: np.ndarray) -> list[tuple]:
     """Per text: tokens, known words and log counts among the head words, score, and other words."""
-    words = mixed(words)  # as n-grams of one word are counted
     rows, end = [], 0
     for n in lengths:
         own = slice(end, end := end + int(n))
         rows.append((int(n), int(inside[own].sum()), float(log[own].sum()), float(logs[own].sum()),
-                     words[own][~inside[own]].view(np.int64)))
+                     mixed(words[own][~inside[own]]).view(np.int64)))  # as n-grams of one word are counted
     return rows
 
 
@@ -475,15 +477,15 @@ def _scorer(
             own = np.concatenate(numbers)
             *alone, hashes, inside, log = known.table()
             words = hashes[own]
-            asked = _needed(words, lengths, order)
+            asked = _needed(words, lengths, order, 2)
             before = np.roll(own, 1)
             before[np.cumsum(lengths) - lengths] = 0
-            read = [None] * len(asked)
-            for k, at, values in zip((0, order, order + 1), (own, before, before), alone):
-                read[k] = values[at]
-            for k, (kind, keys) in enumerate(asked):
-                if read[k] is None:
-                    read[k] = _read(keys, filters[kind].counts)
+            longer = []
+            while asked:
+                kind, keys = asked.pop(0)
+                longer.append(_read(keys, filters[kind].counts))
+                del keys
+            read = [alone[0][own], *longer[: order - 1], *(values[before] for values in alone[1:]), *longer[order - 1 :]]
             rows += _scored(lengths, words, _logs(read, order, tokens, distinct), inside[own], log[own])
         return _struct(rows)
 
