@@ -208,21 +208,30 @@ def counted(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tupl
     shorter n-gram after it, so keys are made for distinct n-grams only. Those of one history lie side by
     side; n-grams of one word have no history and get their own key.
     """
-    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     distinct, back, counts = np.unique(words, return_inverse=True, return_counts=True)
-    word, own = np.concatenate([[_START], distinct]), back + 1
+    word, back = np.concatenate([[_START], distinct]), back.astype(np.int32)
+    own = back + np.int32(1)
     keys = mixed(distinct)
+    del words, distinct
     yield keys, keys, counts
+    begin = (np.cumsum(lengths) - lengths)[lengths > 0]
     parts = [np.arange(1, len(word))]  # numbers of the words of each distinct n-gram
     for n in range(1, order):
-        before = np.zeros(len(own), np.int64)
-        before[n:] = own[:-n]
-        before[place < n] = 0
-        pairs = before << 32 | back
+        pairs = np.zeros(len(own), np.int64)
+        pairs[n:] = own[:-n]
+        for k in range(n):  # tokens with fewer than n before them
+            pairs[(begin + k)[lengths[lengths > 0] > k]] = 0
+        pairs <<= 32
+        pairs |= back
         if n + 1 < order:
             pairs, back, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+            back = back.astype(np.int32)
         else:
-            pairs, counts = np.unique(pairs, return_counts=True)
+            del own, back
+            pairs.sort()
+            first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else pairs
+            counts = np.diff(first, append=len(pairs))
+            pairs = pairs[first]
         first, rest = pairs >> 32, pairs & (1 << 32) - 1
         keys, parts = joined(word[first], keys[rest]), [first, *(p[rest] for p in parts)]
         past = mixed(word[parts[-2]])
@@ -235,7 +244,9 @@ def _partials(order: int, shards: int) -> Callable:
     """Distinct n-grams of a task with their histories and counts, packed by shard and length."""
 
     def packed(words: list[np.ndarray], lengths: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for n, (keys, past, counts) in enumerate(counted(np.concatenate(words), np.concatenate(lengths), order), 1):
+        each = counted(np.concatenate(words), np.concatenate(lengths), order)
+        words.clear()
+        for n, (keys, past, counts) in enumerate(each, 1):
             yield _packed(
                 [
                     (p, n, own.tobytes(), before.tobytes() if n > 1 else b"", number.tobytes())
