@@ -6,11 +6,12 @@ N-gram counts are quantised on a log scale, and an n-gram of level q is entered
 in the same way, how many different words follow a history.
 
 The filter is cut into shards by hash, as many as the corpus needs, so its size follows the
-number of n-grams. While it has no more than MAPPED_BYTES it is written as one file that tasks map
-into memory, so the workers of an executor share its pages; where the shared folder is no mounted
-one, tasks get it as a broadcast of at most BROADCAST_BYTES. Beyond, each text's distinct n-grams are
-taken to the shards instead, with the same answers. Word counts for the exact base score are exact:
-the most frequent words are sent, the rest joined.
+number of n-grams. In a mounted shared folder it is written as one file that tasks map into memory,
+whatever its size: the workers of a machine share its pages, and a block of texts goes through them in
+the order of the shards. Where the shared folder is no mounted one, tasks get the filter as a broadcast
+of at most BROADCAST_BYTES; beyond, each text's distinct n-grams are taken to the shards instead, with
+the same answers, which moves many times the input. Word counts for the exact base score are exact: the
+most frequent words are sent, the rest joined.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import CACHE_WORDS, WordHashes, blocks, joined, lowered, mixed, stored, utf8, work_path
+from granary.llm.common import CACHE_WORDS, WordHashes, blocks, joined, lowered, mixed, utf8, work_path
+from granary.llm.common import stored as written
 from granary.llm.mixing import word_count
 
 #: The token at the end of each text, and the history before its first word; no word has a space.
@@ -36,9 +38,7 @@ END, START = b" end", b" start"
 PROBES, BITS = 7, 10.0
 #: N-grams, repeats included, that one shard is made from.
 SHARD_TOKENS = 3_000_000
-#: A filter up to this size is mapped from a file in a mounted shared folder.
-MAPPED_BYTES = 512 << 20
-#: Elsewhere one up to this size is broadcast, of which every worker holds a copy.
+#: Without a mounted shared folder, a filter up to this size is broadcast; every worker holds a copy.
 BROADCAST_BYTES = 160 << 20
 #: Words, at most, whose exact counts every task holds; the rest are joined.
 HEAD_WORDS = 1_000_000
@@ -51,6 +51,22 @@ PROBED_KEYS, SCORED_BYTES = 200_000, 2_000_000
 #: Keys found missing are put aside when fewer than this share is left, and after a level's last probe.
 FEW_LEFT = 0.8
 _BASE = 1.15
+#: Whether Spark deletes a query's shuffle files when it ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder; what was shuffled to make it is deleted at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df, label)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
 
 
 def _levels() -> np.ndarray:
@@ -588,7 +604,7 @@ def _head(model: LanguageModel, most: int, mounted: bool) -> tuple[_Sent, _Sent]
 
 def score(
     docs: DataFrame, model: LanguageModel, text: str = "text", head_words: int = HEAD_WORDS,
-    sent_bytes: int | None = None, map_files: bool | None = None,
+    sent_bytes: float | None = None, map_files: bool | None = None,
 ) -> DataFrame:
     """``docs`` without the text, with ``n_tokens``, ``n_known``, ``base_score`` and ``score``.
 
@@ -598,11 +614,12 @@ def score(
     name is replaced. A model of no tokens gives a score of 0.
 
     A filter of at most ``sent_bytes`` is given to all tasks, as a mapped file or a broadcast
-    (``map_files``; by default mapped where the shared folder is a mounted one).
+    (``map_files``; by default mapped where the shared folder is a mounted one). By default a mapped
+    file may have any size.
     """
     mounted = _mounted(model.filter) if map_files is None else map_files
     if sent_bytes is None:
-        sent_bytes = MAPPED_BYTES if mounted else BROADCAST_BYTES
+        sent_bytes = math.inf if mounted else BROADCAST_BYTES
     kept = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "base_score", "score")]
     own = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(0)
     docs = docs.select(own.alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))

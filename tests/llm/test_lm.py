@@ -1,6 +1,7 @@
 import math
 import tracemalloc
 from collections import Counter
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
@@ -192,3 +193,31 @@ def test_a_shard_is_built_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(bits) >= 1_250_000 and peak < 40e6
+
+
+def test_a_filter_of_any_size_is_mapped_in_a_mounted_folder(odd_docs, monkeypatch):
+    def refused(*_):
+        raise AssertionError("n-grams were taken to the shards")
+
+    model = lm.train(odd_docs)
+    monkeypatch.setattr(lm, "_scored_by_shard", refused)
+    large = replace(model, filter_bytes=1 << 40)
+    assert lm.score(odd_docs, large).count() == odd_docs.count()
+    with pytest.raises(AssertionError):
+        lm.score(odd_docs, large, map_files=False)
+
+
+def shuffled(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(k) for k in range(files.size())]
+    return {f.getName() for f in files if f.getName().startswith("shuffle_") and f.exists()}
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark, odd_docs):
+    before = shuffled(spark)
+    df = odd_docs.groupBy("lang").count()
+    set_before = spark.conf.get(lm._CLEANUP, None)
+    held = lm.stored(df, "tested")
+    assert not shuffled(spark) - before
+    assert sorted(map(str, held.collect())) == sorted(map(str, df.collect()))
+    assert spark.conf.get(lm._CLEANUP, None) == set_before
