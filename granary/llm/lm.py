@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import CACHE_WORDS, WordHashes, blocks, joined, lowered, mixed, utf8, work_path
 from granary.llm.common import stored as written
 from granary.llm.mixing import word_count
+from granary.session import shuffles_deleted
 
 #: The token at the end of each text, and the history before its first word; no word has a space.
 END, START = b" end", b" start"
@@ -51,22 +52,12 @@ PROBED_KEYS, SCORED_BYTES = 200_000, 2_000_000
 #: Keys found missing are put aside when fewer than this share is left, and after a level's last probe.
 FEW_LEFT = 0.8
 _BASE = 1.15
-#: Whether Spark deletes a query's shuffle files when it ends, not when the driver next collects garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder; what was shuffled to make it is deleted at once."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
-    try:
+    with shuffles_deleted(df.sparkSession):
         return written(df, label)
-    finally:
-        if before is None:
-            conf.unset(_CLEANUP)
-        else:
-            conf.set(_CLEANUP, before)
 
 
 def _levels() -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import lm
 from granary.llm.common import WordHashes, fold
+from granary.session import CLEANUP
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -216,8 +217,8 @@ def shuffled(spark):
 def test_shuffle_files_go_when_a_table_is_stored(spark, odd_docs):
     before = shuffled(spark)
     df = odd_docs.groupBy("lang").count()
-    set_before = spark.conf.get(lm._CLEANUP, None)
+    set_before = spark.conf.get(CLEANUP, None)
     held = lm.stored(df, "tested")
     assert not shuffled(spark) - before
     assert sorted(map(str, held.collect())) == sorted(map(str, df.collect()))
-    assert spark.conf.get(lm._CLEANUP, None) == set_before
+    assert spark.conf.get(CLEANUP, None) == set_before

@@ -188,3 +188,54 @@ def test_first_places_as_a_full_sort_gives_them():
         found = nb._first(d, labels, take)
         assert (np.take_along_axis(d, found, 1) == np.take_along_axis(d, order, 1)).all()
         assert (labels[found] == labels[order]).all()
+
+
+def found_rows(df):
+    return sorted((r["key"], r["place"], r["distance"], r["label"], r["weight"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("block, width", [(2000, 2), (17, 2), (300, 40)])
+def test_nearest_by_files_as_by_visits(spark, points, monkeypatch, block, width):
+    monkeypatch.setattr(nb, "BLOCK", block)
+    if width == 2:  # many ties, every other vector one that single precision holds
+        x = np.vstack([points, np.round(points[:50] * 4) / 4 + 7])
+    else:
+        x = np.random.default_rng(9).normal(size=(700, width)).astype("f4").astype(float)
+    x = np.unique(x, axis=0)
+    train, queries = keyed(spark, x, "t"), keyed(spark, x[::3] + 0.01, "q").select("key", "vec")
+    want = found_rows(nb._nearest_by_visits(train, queries, 4))
+
+    def refused(*_):
+        raise AssertionError("vectors were moved to bundles")
+
+    monkeypatch.setattr(nb, "_visits", refused)
+    found = found_rows(nb.nearest(train, queries, 4))
+    assert found == want  # to the last bit
+    assert len(found) == 4 * len(x[::3])
+
+
+def test_best_of_odd_vectors():
+    rng = np.random.default_rng(10)
+    asked = np.vstack([rng.normal(size=(6, 3)), [[1e200, 0, 0], [np.inf, 1, 1], [np.nan, 0, 0], [1e9, 1e9, 1e9]]])
+    held = np.vstack([rng.normal(size=(30, 3)), rng.normal(size=(9, 3)) * 1e-9 + 1e9, [[1e200, 1, 1], [np.nan, 1, 1], [-1e200, 0, 0]]])
+    label = rng.integers(0, 3, len(held)).astype(float)
+    weight = np.arange(1, len(held) + 1)
+    with np.errstate(all="ignore"):
+        best = nb._Best(asked, 5)
+        for i in range(0, len(held), 4):
+            best.offer(np.arange(len(asked)), held[i : i + 4], label[i : i + 4], weight[i : i + 4])
+        d = nb.distances(asked, held)
+    order = np.lexsort((np.broadcast_to(label, d.shape), d), axis=1)[:, :5]
+    assert np.array_equal(best.distance, np.take_along_axis(d, order, 1), equal_nan=True)
+    finite = np.isfinite(best.distance)
+    assert (best.label[finite] == label[order][finite]).all() and not best.empty.any()
+
+
+def test_points_in_files_take_no_more_than_the_points(spark, tmp_path):
+    x = np.random.default_rng(11).normal(size=(3000, 8)).astype("f4").astype(float)
+    pieces, cells = nb._written(keyed(spark, x, "t"), str(tmp_path))
+    assert cells.counts.sum() == 3000 and (cells.radii[cells.counts > 0] >= 0).all()
+    assert sum(f.stat().st_size for f in tmp_path.iterdir()) == 3000 * (8 * 4 + 16)
+    read = [np.column_stack(p.read(8)) for bundle in pieces for p in bundle]
+    want = np.column_stack([x, np.arange(3000.0), np.ones(3000)])
+    assert (np.vstack(read)[np.argsort(np.vstack(read)[:, 8])] == want).all()
